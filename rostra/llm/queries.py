@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import quality, toxicity
+from rostra.llm import quality, rans, simhash, substring, toxicity, transport, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +19,21 @@ def _held_out():
     return ~toxicity.learnable(F.col("doc_id"))
 
 
+#: The rules that op6 judges by: (host, path, verdict).
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = transport.store(_read(spark, sf_dir, "documents"))
+    return transport.digests(stored).select("doc_id", "n_bytes", "digest.*")
+
+
 def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     ranker = quality.train(docs, _read(spark, sf_dir, "labels"))
@@ -25,6 +41,17 @@ def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_rules.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.report(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_removed").cast("long").alias("n_removed"), "kept_sha256")
+
+
 def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
@@ -32,9 +59,53 @@ def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= toxicity.REJECT_AT).cast("int").alias("predicted"))
 
 
+def op9_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(_read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = rans.write_new(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rans.read(spark, path, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bradley_terry_quality, op8_ftrl_toxicity)}
+    every = (
+        op1_transport_stream,
+        op2_bradley_terry_quality,
+        op6_url_rules,
+        op7_suffix_trees,
+        op8_ftrl_toxicity,
+        op9_simhash_bk_trees,
+        op10_rans_tokens,
+    )
+    return {f.__name__: f for f in every}
+
+
+_OP6_SQL = """
+WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw_host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
+     h AS (SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+     r(rule_host, rule_path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
+                  ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+     m AS (SELECT h.page_id, h.host, h.path, rule_host || rule_path AS rule, verdict,
+                  row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host) DESC NULLS LAST, length(rule_path) DESC NULLS LAST) AS k
+           FROM h LEFT JOIN r ON (h.host = rule_host OR ends_with(h.host, '.' || rule_host)) AND starts_with(h.path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+"""
+
+_OP7_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+     p AS (SELECT doc_id, unnest(generate_series(1, len(words) - 34)) AS s, words FROM w WHERE len(words) >= 35),
+     g AS (SELECT doc_id, s, sha256(array_to_string(words[s:s + 34], ' ')) AS h FROM p),
+     d AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+     c AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 34)) AS k FROM g JOIN d USING (h)),
+     n AS (SELECT doc_id, list(k) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_rules": _OP6_SQL, "op7_suffix_trees": _OP7_SQL}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -75,3 +76,9 @@ def release(since: int = 0) -> None:
 
 
 atexit.register(release)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of plans that nothing refers to any more (their results are staged)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
