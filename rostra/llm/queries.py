@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import quality, rans, simhash, substring, toxicity, transport, url_rules
+from rostra.llm import decontaminate, lines, pieces, quality, rans, simhash, substring, toxicity, transport, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,28 @@ def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.report(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "depth", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.col("n_hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op5_sentencepiece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "digest.*")
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_rules.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -73,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_transport_stream,
         op2_bradley_terry_quality,
+        op3_line_suffix_array,
+        op4_prefix_filter_decontamination,
+        op5_sentencepiece_transducer,
         op6_url_rules,
         op7_suffix_trees,
         op8_ftrl_toxicity,
@@ -82,6 +107,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+#: Copies of 1, 2 and 4 lines that begin after an equal run; longer ones delete nothing more, so depth is told up to its powers of two.
+_OP3_SQL = r"""
+WITH RECURSIVE
+     d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, sha256(coalesce(text, ''))) AS uid, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+     p AS (SELECT uid, l, unnest(generate_series(1, len(l))) AS s FROM d),
+     e AS (SELECT i AS j, (1 << i) AS n FROM generate_series(0, 20) t(i)),
+     w AS (SELECT uid, s, n, array_to_string(l[s:s + n - 1], chr(10)) AS t FROM p JOIN e ON s + n - 1 <= len(l)),
+     h AS (SELECT uid, s, n, sha256(t) AS h, length(t) AS chars FROM w),
+     f AS (SELECT *, row_number() OVER (PARTITION BY n, h ORDER BY uid, s) AS k FROM h),
+     c AS (SELECT uid, s, n FROM f WHERE k > 1 AND (n >= 4 OR chars >= 200)),
+     g AS (SELECT DISTINCT uid, unnest(generate_series(s, s + n - 1)) AS s FROM c),
+     a AS (SELECT uid, max(n) AS depth FROM c GROUP BY uid),
+     b AS (SELECT uid, list(s) AS gone FROM g GROUP BY uid)
+SELECT doc_id, CAST(len(l) AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_removed, CAST(coalesce(depth, 0) AS INTEGER) AS depth,
+       sha256(array_to_string(list_filter(l, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10))) AS kept_sha256
+FROM d LEFT JOIN a USING (uid) LEFT JOIN b USING (uid)
+"""
+
+_OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+     i AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark),
+     j AS (SELECT item, words, least(13, len(words)) AS n FROM i WHERE len(words) > 0),
+     v AS (SELECT item, n, array_to_string(words[k:k + n - 1], ' ') AS w FROM (SELECT item, words, n, unnest(generate_series(1, len(words) - n + 1)) AS k FROM j)),
+     z AS (SELECT DISTINCT n FROM v),
+     o AS (SELECT doc_id, n, k, array_to_string(words[k:k + n - 1], ' ') AS w
+           FROM (SELECT doc_id, words, n, unnest(generate_series(1, len(words) - n + 1)) AS k FROM d JOIN z ON len(words) >= n)),
+     x AS (SELECT doc_id, item, n, k FROM o JOIN v USING (n, w)),
+     h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM x) GROUP BY doc_id),
+     t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM x GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 _OP6_SQL = """
 WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw_host,
                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
@@ -108,4 +169,4 @@ FROM w LEFT JOIN n USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_rules": _OP6_SQL, "op7_suffix_trees": _OP7_SQL}
+    return {"op3_line_suffix_array": _OP3_SQL, "op4_prefix_filter_decontamination": _OP4_SQL, "op6_url_rules": _OP6_SQL, "op7_suffix_trees": _OP7_SQL}
