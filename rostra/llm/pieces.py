@@ -8,7 +8,7 @@ of byte-pair merges, accepts a sequence of pieces if each two neighbours are wha
 
 The composition with an input is walked as a tropical shortest path: states are places in the text, and the best path to each
 is kept with its last piece, which is all that the grammar's weights ask for. Where no piece goes over the border of two chunks
-(before a run of blanks, around a newline) the path of a text is that of its chunks, one after the other, and a worker remembers the paths of
+(before a run of blanks, around a newline, between Latin letters and other characters) the path of a text is that of its chunks, one after the other, and a worker remembers the paths of
 REMEMBERED chunks; a model with other pieces is walked over whole texts.
 
 Decoding is the inverse: ids to pieces and bytes, U+2581 to a blank, the first blank dropped. It gives back every text but for U+2581
@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 from rostra.llm.staging import bound_batches
 
 BLANK = "▁"
-REMEMBERED, PAIRS = 300_000, 400_000
+REMEMBERED, PAIRS = 400_000, 400_000
 _NORMAL, _UNKNOWN, _BYTE, _BPE = 1, 2, 6, 2
 _UNK_TEXT = " ⁇ ".encode()
+#: A newline, or blanks and what follows them: Latin letters, or other characters.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_CHUNK = rf"\n|{BLANK}*(?:[{_LATIN}]+|[^{_LATIN}{BLANK}\n]+)|{BLANK}+"
 
 
 def _fields(data: bytes):
@@ -84,9 +87,10 @@ class Transducer:
         self.prefix, self.escape = bool(rules.get(3, 1)), bool(rules.get(5, 1))
         self.unknown = self.kinds.index(_UNKNOWN)
         self.bytes = [k for k, kind in enumerate(self.kinds) if kind == _BYTE]
-        self.longest = max(map(len, self.ids), default=1)
-        self.by_chunk = all(re.fullmatch(f"{BLANK}*[^{BLANK}\n]*", t) for t in self.ids)
-        self.chunks = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
+        self.begun = {t[:k] for t in self.ids for k in range(1, len(t) + 1)}
+        # No piece goes on from Latin letters to other characters or back, or has a blank or newline after its first blanks.
+        self.by_chunk = all(re.fullmatch(_CHUNK, t) for t in self.ids)
+        self.chunks = re.compile(_CHUNK)
         out = {_NORMAL: lambda t: t.replace(BLANK, " ").encode(), _BYTE: lambda t: bytes([int(t[3:5], 16)]), _UNKNOWN: lambda t: _UNK_TEXT}
         self.written = [out.get(kind, lambda t: b"")(t) for kind, t in zip(self.kinds, self.texts, strict=True)]
         self.paths: dict[str, bytes] = {}
@@ -128,16 +132,27 @@ class Transducer:
 
     def path(self, chunk: str) -> list[str]:
         """The pieces (or single characters without one) on the path of finite weight."""
-        last: list[str] = [""]
-        for end in range(1, len(chunk) + 1):
-            for begin in range(max(0, end - self.longest), end):
+        size, ids, begun, arcs = len(chunk), self.ids, self.begun, self.arcs
+        into: list[list[str]] = [[] for _ in range(size + 1)]  # the lexicon's arcs by where they end, the longest first
+        for begin in range(size):
+            into[begin + 1].append(chunk[begin])
+            for end in range(begin + 2, size + 1):
                 piece = chunk[begin:end]
-                if (piece in self.ids or end - begin == 1) and self.accepts(last[begin], piece):
+                if piece not in begun:
+                    break
+                if piece in ids:
+                    into[end].append(piece)
+        last = [""]
+        for end in range(1, size + 1):
+            for piece in into[end]:
+                left = last[end - len(piece)]
+                fits = arcs.get((left, piece))
+                if fits or (fits is None and self.accepts(left, piece)):
                     last.append(piece)
                     break
             else:  # merges always leave some path
                 raise AssertionError(f"no path to {end} of {chunk!r}")
-        out, at = [], len(chunk)
+        out, at = [], size
         while at:
             out.append(last[at])
             at -= len(last[at])
@@ -161,9 +176,9 @@ class Transducer:
         for chunk in self.chunks.findall(whole) if self.by_chunk else [whole] if whole else []:
             own = paths.get(chunk)
             if own is None:
-                if len(paths) >= REMEMBERED:
-                    paths.clear()
-                own = paths[chunk] = self._ids(chunk)
+                own = self._ids(chunk)
+                if len(paths) < REMEMBERED:  # the first ones met are the frequent ones
+                    paths[chunk] = own
             out.append(own)
         return b"".join(out)
 
