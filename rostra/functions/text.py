@@ -75,7 +75,8 @@ def term_index(term: Column) -> Column:
 
 
 def _count(text: Column, listed: list[str]) -> Column:
-    return F.size(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: w.isin(listed)))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    return F.size(F.filter(words, lambda w: w.isin(listed)))
 
 
 def language(text: Column, least: int = 3, mixed: float = 0.25) -> Column:
