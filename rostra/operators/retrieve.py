@@ -17,7 +17,7 @@ from rostra.functions import text as T
 from rostra.operators import index
 from rostra.plans.size import if_small
 
-CANDIDATES, POOL, TOP, RRF_K, LEAST = 40, 20, 8, 60, 0.02
+CANDIDATES, POOL, TOP, RRF_K, LEAST = 40, 30, 8, 60, 0.02
 #: Query vectors that are matched in one pass over the chunks.
 QUERY_BLOCK = 1024
 

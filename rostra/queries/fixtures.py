@@ -203,15 +203,23 @@ def ocr_best(spark, sf_dir):
     return ocr.best_reading(own, ["line"]).select("line", "text")
 
 
-_STYLES = """(VALUES (1, 'RANG UNDANG-UNDANG CONTOH', 0.9), (2, 'Menteri Contoh [Tuan A', 0.9), (3, 'bin B]: Terima kasih', 0.9), (4, 'Ini satu ayat: dengan titik bertindih', 0.9), (5, '[Tepuk]', 0.9), (6, '1040', 0.9), (7, 'rosak', 0.2), (8, 'Tuan C [Kota Satu]: Ya', 0.9)) AS s(line, text, score)"""
+_STYLES = """(VALUES (1, 'RANG UNDANG-UNDANG CONTOH', 0.9), (2, 'Menteri Contoh [Tuan A', 0.9), (3, 'bin B]: Terima kasih', 0.9), (4, 'Ini satu ayat: dengan titik bertindih', 0.9), (5, '[Tepuk]', 0.9), (6, '1040', 0.9), (7, 'rosak', 0.2), (8, 'Tuan C [Kota Satu]: Ya [Tepuk] dan', 0.9), (9, 'Puan D [Kota Dua] minta Menteri', 0.9)) AS s(line, text, score)"""
 
 
-@query("SELECT * FROM (VALUES (1, 'heading'), (2, 'label_start'), (3, 'text'), (4, 'text'), (5, 'stage'), (6, 'time_mark'), (7, 'unreadable'), (8, 'label')) AS k(line, kind)")
+@query("SELECT * FROM (VALUES (1, 'heading'), (2, 'label_start'), (3, 'label_end'), (4, 'text'), (5, 'stage'), (6, 'time_mark'), (7, 'unreadable'), (8, 'label'), (9, 'question')) AS k(line, kind)")
 def ocr_styles(spark, sf_dir):
     own = fixture(spark, _STYLES).selectExpr("1 AS page", "line", "text", "double(score) AS score")
     return ocr.restyled(own, ["page"], "line").select("line", "kind")
 
 
+@query("""SELECT * FROM (VALUES (1, 0, 'RANG UNDANG-UNDANG CONTOH', true, false), (2, 0, 'Menteri Contoh [Tuan A', true, false), (3, 0, 'bin B]:', true, false), (3, 1, ' Terima kasih', false, false), (4, 0, 'Ini satu ayat: dengan titik bertindih', false, false),
+  (5, 0, '[Tepuk]', false, true), (6, 0, '■1040', false, false), (7, 0, 'OCR tidak dapat dibaca:', true, false), (8, 0, 'Tuan C [Kota Satu]:', true, false), (8, 1, ' Ya ', false, false), (8, 2, '[Tepuk]', false, true), (8, 3, ' dan', false, false),
+  (9, 0, 'Puan D [Kota Dua]', true, false), (9, 1, ' minta Menteri', false, false)) AS k(line, span, text, bold, italic)""")
+def ocr_spans(spark, sf_dir):
+    own = fixture(spark, _STYLES).selectExpr("1 AS page", "line", "text", "double(score) AS score")
+    return ocr.styled_spans(ocr.restyled(own, ["page"], "line"), ["page"], "line").drop("page")
+
+
 _STAGES = """(VALUES (1, 'Timbalan Yang di-Pertua (Dato A) mempengerusikan Mesyuarat'), (2, 'Tuan Yang di-Pertua  mempengerusikan Mesyuarat'), (3, 'Tepuk')) AS s(n, stage)"""
 
 

@@ -98,7 +98,7 @@ _HYBRID = f"""{_CTE},{_DENSE.format("a.vec_id IN (SELECT item_id FROM benchmark)
      h AS (SELECT query_id, chunk_id, score, {_RANK}::INTEGER AS rank FROM f)"""
 
 
-@query(f"WITH {_HYBRID} SELECT * FROM h WHERE rank <= 20")
+@query(f"WITH {_HYBRID} SELECT * FROM h WHERE rank <= 30")
 def hybrid_rrf(spark, sf_dir):
     _, branches = _branches(spark, sf_dir)
     return retrieve.fuse(branches, retrieve.POOL)
@@ -112,7 +112,7 @@ def _reranked(spark, sf_dir, k):
 _RERANK = f"""{_HYBRID},
      t AS (SELECT item_id AS query_id, list_distinct({_TOKENS.format("text")}) AS asked FROM benchmark),
      r AS (SELECT query_id, chunk_id, h.rank AS fused_rank, h.score AS retrieval_score, round(1 / (1 + exp(-(10.0 * len(list_intersect(asked, terms)) / nullif(len(asked), 0) - 5.0))), 6) AS score
-           FROM h JOIN t USING (query_id) JOIN c USING (chunk_id) WHERE h.rank <= 20),
+           FROM h JOIN t USING (query_id) JOIN c USING (chunk_id) WHERE h.rank <= 30),
      z AS (SELECT query_id, chunk_id, retrieval_score, fused_rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank)::INTEGER AS rank FROM r)"""
 
 
@@ -129,7 +129,7 @@ def not_found_gate(spark, sf_dir):
 
 
 @query(f"""WITH {_DENSE.format("a.vec_id IN (SELECT item_id FROM benchmark)")},
-     o AS (SELECT query_id, chunk_id, score, {_RANK}::INTEGER AS rank FROM v) SELECT * FROM o WHERE rank <= 20""")
+     o AS (SELECT query_id, chunk_id, score, {_RANK}::INTEGER AS rank FROM v) SELECT * FROM o WHERE rank <= 30""")
 def single_branch(spark, sf_dir):
     _, branches = _branches(spark, sf_dir, sparse=False)
     return retrieve.fuse(branches, retrieve.POOL)
@@ -228,7 +228,7 @@ def chunk_windows(spark, sf_dir):
     return chunk.windows(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("SELECT doc_id, text, 0 AS part, 1 AS n_parts FROM documents WHERE length(text) BETWEEN 20 AND 1500")
+@query("SELECT doc_id, text, 0 AS part, 1 AS n_parts FROM documents WHERE length(text) BETWEEN 20 AND 2000")
 def chunk_short(spark, sf_dir):
     return chunk.windows(read(spark, sf_dir, "documents").select("doc_id", "text")).where("n_parts = 1")
 

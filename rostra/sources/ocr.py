@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from rostra.functions import labels as L
 from rostra.functions import text as T
 
-LEAST_SCORE, HEADING_UPPER = 0.5, 0.8
+LEAST_SCORE, HEADING_UPPER, LABEL_MOST = 0.85, 0.7, 220
+#: A wrapped label ends within so many characters of its second line.
+WRAP_MOST = 120
 
 
 def best_reading(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,22 +39,44 @@ def rows_of_boxes(boxes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def restyled(lines: DataFrame, by: list[str], order: str) -> DataFrame:
-    """lines with kind: unreadable, time_mark, label, label_start (wrapped over to the next line), stage, heading or text."""
+    """lines with kind and cut: what a line is by its shape, and how many of its first characters are the bold label or question.
+
+    Kinds, the first that fits: unreadable (a boundary that nothing merges over), time_mark, label, label_start and label_end (a label over two lines), question, heading, stage, text.
+    """
     w = Window.partitionBy(*by).orderBy(order)
-    text, after = F.trim("text"), F.coalesce(F.trim(F.lead("text").over(w)), F.lit(""))
-    begins = text.rlike(rf"^({L.BEGINNINGS})\b")
-    closed = text.rlike(r"^[^:]*\]\s*:") | (text.rlike(r"^[^:\[\]]{2,80}:\s") & L.is_role(F.regexp_extract(text, "^([^:]*):", 1))) | text.rlike(r"^[^:]{2,160}:$")
-    wraps = begins & ~F.contains(text, F.lit(":")) & after.rlike(r"^[^:\[]*\]\s*:") & F.contains(text, F.lit("["))
+    text = F.trim("text")
+    own = lines.withColumn("__t", text).withColumns({"__next": F.coalesce(F.lead(text).over(w), F.lit("")), "__score": F.coalesce(F.lead("score").over(w), F.lit(0.0))})
+    t, after = F.col("__t"), F.col("__next")
+    begins = t.rlike(rf"^({L.BEGINNINGS})\b")
+    colon, wrap = F.instr(t, ":"), F.instr(after, "]:")
+    balanced = F.regexp_count(F.substring_index(t, ":", 1), F.lit(r"\[")) == F.regexp_count(F.substring_index(t, ":", 1), F.lit(r"\]"))
+    asks = r"^(.*?\[[^\[\]]+\])\s*(?i:minta|meminta|bertanya)\b"
+    letters = F.regexp_count(t, F.lit(r"\p{L}"))
     kind = (
         F.when(F.col("score") < LEAST_SCORE, "unreadable")
-        .when(text.rlike(r"^■?\s*\d{4}$"), "time_mark")
-        .when(begins & closed, "label")
-        .when(wraps, "label_start")
-        .when(text.rlike(r"^\[[^\[\]]{1,150}\]$"), "stage")
-        .when((T.upper_ratio(text) >= HEADING_UPPER) & (F.regexp_count(text, F.lit(r"\p{L}")) >= 4), "heading")
+        .when(t.rlike(r"^■?\s*\d{4}$"), "time_mark")
+        .when(begins & colon.between(3, LABEL_MOST) & balanced, "label")
+        .when(begins & (colon == 0) & wrap.between(1, WRAP_MOST) & (F.col("__score") >= LEAST_SCORE), "label_start")
+        .when(begins & t.rlike(asks), "question")
+        .when((colon == 0) & (letters >= 4) & (T.upper_ratio(t) >= HEADING_UPPER), "heading")
+        .when(t.rlike(r"(?s)^\[.*\]$"), "stage")
         .otherwise("text")
     )
-    return lines.withColumn("kind", kind)
+    own = own.withColumn("__kind", kind)
+    final = F.when(F.lag("__kind").over(w) == "label_start", "label_end").otherwise(F.col("__kind"))
+    own = own.withColumn("kind", final)
+    cut = F.when(F.col("kind") == "label", colon).when(F.col("kind") == "label_end", F.instr(t, "]:") + 1).when(F.col("kind") == "question", F.length(F.regexp_extract(t, asks, 1)))
+    return own.withColumn("cut", F.when(F.col("kind").isin("label_start", "heading"), F.length(t)).otherwise(F.coalesce(cut, F.lit(0)))).drop("__t", "__next", "__score", "__kind")
+
+
+def styled_spans(kinds: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by..., order, span, text, bold, italic) from restyled(): what the parser of styled pages takes."""
+    t = F.when(F.col("kind") == "unreadable", "OCR tidak dapat dibaca:").when(F.col("kind") == "time_mark", F.concat(F.lit("■"), F.regexp_extract("text", r"(\d{4})", 1))).otherwise(F.trim("text"))
+    bold = F.when(F.col("kind") == "unreadable", F.length(t)).otherwise(F.col("cut"))
+    rest = F.regexp_extract_all(F.substring(t, bold + 1, F.length(t)), F.lit(r"(\[[^\[\]]{1,150}\]|[^\[]+|\[)"), F.lit(1))
+    pieces = F.transform(rest, lambda p: F.struct(p.alias("text"), F.lit(False).alias("bold"), p.rlike(r"^\[.*\]$").alias("italic")))
+    head = F.when(bold > 0, F.array(F.struct(F.substring(t, F.lit(1), bold).alias("text"), F.lit(True).alias("bold"), F.lit(False).alias("italic")))).otherwise(F.array().cast("array<struct<text:string,bold:boolean,italic:boolean>>"))
+    return kinds.select(*by, order, F.posexplode(F.concat(head, pieces)).alias("span", "p")).select(*by, order, "span", "p.*")
 
 
 def needs_ocr(pages: DataFrame, least: int = 200) -> DataFrame:
