@@ -18,6 +18,7 @@ first. An empty table gives an empty set.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,27 +33,33 @@ from rostra.llm.staging import bound_batches, new_path, remove
 PRECISION, LANES, END_ID = 18, 512, 1
 #: A block is closed at the first document end from this many ids on; steps between checkpoints.
 BLOCK_IDS, CHECKPOINT_STEPS = 1 << 17, 128
-#: Words a worker remembers with their ids; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Chunks a worker remembers with their ids.
+REMEMBERED = 500_000
 _LOW = np.uint64(1 << 31)
 
 
 # --- tokenizer -----------------------------------------------------------------------------------------------------
 
 
-class WordCoder(dict):
-    """Token ids, as little-endian 32-bit bytes, of chunks between blanks, remembered up to REMEMBERED chunks.
+#: What may follow a word's letters in a chunk without touching its unit.
+_MARKS = "!#$%&()*+,-./:;=?@[]^{|}~"
+
+
+class WordCoder:
+    """Token ids, as little-endian bytes (16 bits each where the vocabulary allows, else 32), by way of the chunks between blanks.
 
     It is exact for tokenizers that drop white space and never join what it separates: their whole-text encoding is the
-    concatenation of the chunks' encodings. usable() proves that of a tokenizer file; others encode whole texts.
+    concatenation of the chunks' encodings. usable() proves that of a tokenizer file; others encode whole texts. Chunks are remembered
+    until there are REMEMBERED of them; later ones only while their batch lasts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = self.usable(path)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     @staticmethod
     def usable(path: str) -> bool:
@@ -72,16 +79,59 @@ class WordCoder(dict):
             and all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]) for t in made.get("added_tokens", []))
         )
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    @staticmethod
+    def base(chunk: str) -> str:
+        """The lower-cased word of a chunk of letters and perhaps marks after them; else the empty string.
+
+        Letters and the marks after them are separate units of the tokenizer, which lower-cases by itself.
+        """
+        word = chunk.rstrip(_MARKS)
+        if word.isascii():
+            return word.lower() if word.isalpha() else ""
+        low = word.lower()
+        return low if low.isalpha() and unicodedata.is_normalized("NFC", word) and len(low) == len(word) and "\u03c2" not in low else ""
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new chunks. All new words go to the library in one call: as units of letters, they don't touch each other."""
+        known, bases = self.known, list(map(self.base, new))
+        words = list({w for w in bases if w and w not in known})
+        if words:
+            coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            units = np.array(coded.word_ids, np.int64)
+            cuts = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
+            if len(cuts) == len(words) + 1:  # else some word is no single unit
+                raw, wide = np.array(coded.ids, self.kind).tobytes(), int(self.kind[-1])
+                known.update(zip(words, (raw[wide * a : wide * z] for a, z in zip(cuts, cuts[1:], strict=False)), strict=True))
+            else:
+                known.update((w, self._library(w)) for w in words)
+        for chunk, word in zip(new, bases, strict=True):
+            if word and chunk not in known:
+                marks = chunk[len(word) :]
+                if marks and marks not in known:
+                    known[marks] = self._library(marks)
+                known[chunk] = known[word] + known[marks] if marks else known[word]
+            elif chunk not in known:
+                known[chunk] = self._library(chunk)
 
     def encode(self, text: str) -> bytes:
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            return [self._library(t) for t in texts]
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        room, known = REMEMBERED - len(self.known), self.known
+        new = [c for c in set().union(*chunks) if c not in known]
+        kept = len(known)
+        self._learn(new)
+        out = [b"".join(map(known.__getitem__, own)) for own in chunks]
+        if len(new) > room:
+            while len(known) > kept:
+                known.popitem()  # the latest first
+        return out
 
 
 _coders: dict[str, WordCoder] = {}
@@ -182,7 +232,16 @@ def decode(words: bytes, states: bytes, n: int, t: Tables, lanes: int = LANES, f
 
 # --- files ---------------------------------------------------------------------------------------------------------
 
-_RAW = "part int, number int, n long, ids binary, doc_ids array<long>, lengths array<long>"
+_RAW = "part int, number int, offset long, n long, ids binary, doc_ids array<long>, lengths array<long>"
+_RAW_KINDS = {
+    "part": pa.int32(),
+    "number": pa.int32(),
+    "offset": pa.int64(),
+    "n": pa.int64(),
+    "ids": pa.binary(),
+    "doc_ids": pa.list_(pa.int64()),
+    "lengths": pa.list_(pa.int64()),
+}
 _BLOCK = (
     "part int, number int, start long, n long, doc_ids array<long>, lengths array<long>, words binary, states binary, "
     "checkpoints array<struct<step:int,offset:long,states:binary>>, ids_crc32 long, words_crc32 long"
@@ -202,33 +261,37 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bloc
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = _ranges(rows, parts)
-    tail = np.array([end_id], "<u4").tobytes()
+    kind = "<u4" if end_id >= 1 << 16 else coder(tokenizer).kind
+    tail, wide = np.array([end_id], kind).tobytes(), int(kind[-1])
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, edges = coder(tokenizer), np.array(cuts, np.int64)
         for batch in batches:
-            ids = pa.array([own.encode(t or "") + tail for t in batch.column(1).to_pylist()], pa.binary())
+            coded = own.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+            if kind != own.kind:
+                coded = [np.frombuffer(x, own.kind).astype(kind).tobytes() for x in coded]
+            ids = pa.array([x + tail for x in coded], pa.binary())
             keys = batch.column(0)
             at = np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, keys.fill_null(0).to_numpy(), side="left"))
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), keys, ids], names=["part", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number, part = [], 0, 0, None
+        held, size, number, offset, part = [], 0, 0, 0, None
 
         def block() -> pa.RecordBatch:
             ids = b"".join(x for _, x in held)
-            row = {"part": part, "number": number, "n": size, "ids": ids, "doc_ids": [d for d, _ in held], "lengths": [len(x) // 4 for _, x in held]}
-            kinds = {"part": pa.int32(), "number": pa.int32(), "n": pa.int64(), "ids": pa.binary(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64())}
-            return pa.RecordBatch.from_arrays([pa.array([row[k]], kind) for k, kind in kinds.items()], names=list(kinds))
+            row = {"part": part, "number": number, "offset": offset, "n": size, "ids": ids, "doc_ids": [d for d, _ in held], "lengths": [len(x) // wide for _, x in held]}
+            return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in _RAW_KINDS.items()], names=list(_RAW_KINDS))
 
         for batch in batches:
             for own, doc, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if held and (own != part or size >= block_ids):
                     yield block()
-                    number, held, size = number + 1 if own == part else 0, [], 0
+                    number, offset = (number + 1, offset + size) if own == part else (0, 0)
+                    held, size = [], 0
                 part = own
                 held.append((doc, ids))
-                size += len(ids) // 4
+                size += len(ids) // wide
         if held:
             yield block()
 
@@ -241,7 +304,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bloc
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total))
+                own = np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         used = np.flatnonzero(total)
@@ -260,17 +323,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bloc
     starts, before = {}, 0
     for part in sorted(sizes):
         starts[part], before = before, before + sizes[part]
-    number = raw.select("part", "number", "n")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = number.select("part", "number", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"))
-
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables.of(freq)
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<u4")
+                ids = np.frombuffer(row["ids"], kind).astype("<u4")
                 words, states, marks = encode(ids, tables)
                 out = {
                     "part": row["part"],
@@ -282,12 +339,12 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bloc
                     "words": words,
                     "states": states,
                     "checkpoints": [{"step": s, "offset": o, "states": b} for s, o, b in marks],
-                    "ids_crc32": zlib.crc32(row["ids"]),
+                    "ids_crc32": zlib.crc32(ids.tobytes()),
                     "words_crc32": zlib.crc32(words),
                 }
                 yield pa.RecordBatch.from_arrays([pa.array([v], _KINDS[k]) for k, v in out.items()], names=list(out))
 
-    raw.join(offsets, ["part", "number"]).select("part", "number", "n", "ids", "doc_ids", "lengths", "offset").mapInArrow(code, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.mapInArrow(code, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     remove(spark, f"{path}/raw")
 
 
