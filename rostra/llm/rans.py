@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from rostra.llm.staging import bound_batches, new_path, remove
 
-PRECISION, LANES, END_ID = 18, 512, 1
+PRECISION, LANES, END_ID = 18, 1024, 1
 #: A block is closed at the first document end from this many ids on; steps between checkpoints.
 BLOCK_IDS, CHECKPOINT_STEPS = 1 << 17, 128
 #: Chunks a worker remembers with their ids.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 _LOW = np.uint64(1 << 31)
 
 
