@@ -73,7 +73,8 @@ def _cut(docs: DataFrame, **options) -> DataFrame:
     numbered = _numbered(docs)
     gone = stage(deletions(numbered, **options), "deletions")
     settle(docs.sparkSession)
-    joined = numbered.join(gone, "__uid", "left")
+    # One plan at every size: texts and deletions meet by key, however few the deletions are.
+    joined = numbered.join(gone.hint("merge"), "__uid", "left")
     return joined.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("__kept", F.expr("CASE WHEN __gone IS NULL THEN __lines ELSE filter(__lines, (x, i) -> NOT array_contains(__gone, i)) END"))
 
 
