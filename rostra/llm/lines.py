@@ -12,6 +12,11 @@ In an interval, every suffix but the first in document order starts a later copy
 MIN_LINES lines or more, or MIN_CHARS characters or more (newlines between its lines included); the lines of copies that
 count are deleted. Overlapping copies join into maximal runs; the first copy stays, also inside one document.
 
+With ``every_length``, and always if MIN_LINES is no power of two, further rounds rank the lengths between the powers up to MIN_LINES, each
+by the rank at one line less and that of the line added: no copy that counts is missed (a longer one is covered by copies of
+MIN_LINES lines). Without it a copy is judged at the powers alone, so one of exactly 3 lines that counts by its characters stays,
+unless a line or pair in it counts.
+
 Null texts have one empty line, like empty ones. A document may lose all its lines; it stays with an empty text. Empty tables give empty results.
 """
 
@@ -35,15 +40,22 @@ def _ranked(suffixes: DataFrame, key: list[str]) -> DataFrame:
     return joined.select("doc_id", "uid", "line", "chars", F.col("order").alias("rank"), later.alias("later"))
 
 
-def intervals(lines: DataFrame) -> list[tuple[int, DataFrame]]:
-    """From (doc_id, uid, line, id, chars), for d = 1, 2, 4, ...: (doc_id, uid, line, chars, rank, later) of the suffixes in intervals."""
+def _longer(own: DataFrame, other: DataFrame, ahead: int) -> DataFrame:
+    """Suffixes ranked by their first lines in own and, from ``ahead`` lines on, in other."""
+    rest = other.select("uid", (F.col("line") - ahead).alias("line"), F.col("rank").alias("next"), F.col("chars").alias("more"))
+    pairs = own.join(rest, ["uid", "line"]).select("doc_id", "uid", "line", (F.col("chars") + 1 + F.col("more")).alias("chars"), "rank", "next")
+    return stage(_ranked(pairs, ["rank", "next"]), "ranks")
+
+
+def intervals(lines: DataFrame, every: int = 0) -> list[tuple[int, DataFrame]]:
+    """From (doc_id, uid, line, id, chars), for d = 1, 2, 4, ... and all lengths to ``every``: (doc_id, uid, line, chars, rank, later) of the suffixes in intervals."""
     depth, out = 1, []
     own = stage(_ranked(lines, ["id"]), "ranks")
     while not own.isEmpty():
         out.append((depth, own))
-        ahead = own.select("uid", (F.col("line") - depth).alias("line"), F.col("rank").alias("next"), F.col("chars").alias("more"))
-        pairs = own.join(ahead, ["uid", "line"]).select("doc_id", "uid", "line", (F.col("chars") + 1 + F.col("more")).alias("chars"), "rank", "next")
-        own = stage(_ranked(pairs, ["rank", "next"]), "ranks")
+        for n in range(depth + 1, min(2 * depth, every + 1)):
+            out.append((n, _longer(out[-1][1], out[0][1], n - 1)))
+        own = _longer(own, own, depth)
         depth *= 2
     return out
 
@@ -53,12 +65,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return stage(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
 
 
-def deletions(numbered: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(__uid, __gone array<int>, __depth int) of the rows that lose lines: line numbers, and the longest power of two of lines copied."""
+def deletions(numbered: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, every_length: bool = False) -> DataFrame:
+    """(__uid, __gone array<int>, __depth int) of the rows that lose lines: line numbers, and the most lines copied of the lengths judged."""
     split = numbered.select(F.col("__uid").alias("uid"), "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "value"))
     lines = split.select("doc_id", "uid", "line", F.xxhash64("value").alias("id"), F.char_length("value").cast("long").alias("chars"))
-    copies = None
-    for depth, table in intervals(lines):
+    copies, every = None, min_lines if every_length or min_lines & (min_lines - 1) else 0
+    for depth, table in intervals(lines, every):
         counted = table.where("later").where(F.lit(depth >= min_lines) | (F.col("chars") >= min_chars))
         # Copies longer than min_lines add no line that those of min_lines don't cover; they only tell the depth.
         own = counted.select("uid", F.lit(depth).alias("depth"), F.expr(f"sequence(line, line + {min(depth, max(1, min_lines)) - 1})").alias("gone"))

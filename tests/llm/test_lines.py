@@ -56,3 +56,29 @@ def test_remove(spark):
     rows = got.collect()
     assert sorted(r.text for r in rows) == sorted(x[4] for x in brute(rough(2))) and all(r.n_chars == len(r.text) for r in rows)
     assert [r.text for r in L.remove(docs(spark, [(1, None)])).collect()] == [None]
+
+
+def brute_every(rows, min_lines=L.MIN_LINES, min_chars=L.MIN_CHARS):
+    """Rows in order; of each, kept lines, every run length judged."""
+    rows = sorted(((-1 if i is None else i, k, (t or "").split("\n")) for k, (i, t) in enumerate(rows)))
+    seen, out = set(), []
+    for i, _, lines in rows:
+        gone = set()
+        for p in range(len(lines)):
+            for d in range(1, len(lines) - p + 1):
+                run = tuple(lines[p : p + d])
+                if run in seen and (d >= min_lines or len("\n".join(run)) >= min_chars):
+                    gone |= set(range(p, p + d))
+                seen.add(run)
+        out.append((i, len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("options", [{"every_length": True}, {"every_length": True, "min_lines": 8, "min_chars": 150}, {"min_lines": 3, "min_chars": 10**9}, {"min_lines": 7}])
+def test_every_length(spark, options):
+    long = "a" * 195 + "\n\n" + "b" * 195
+    runs = [f"x{k} " + "x" * 30 for k in range(7)]
+    made = [(100, long), (101, f"own\n{long}\nother"), (102, "\n".join(runs)), *((110 + n, "\n".join(["first", *runs[:n], f"last {n}"])) for n in range(1, 8))]
+    rows = rough(2) + made
+    got = sorted((r.doc_id, r.n_removed, r.kept) for r in L.report(docs(spark, rows), **options).collect())
+    assert got == brute_every(rows, **{k: v for k, v in options.items() if k != "every_length"})
