@@ -153,7 +153,7 @@ def _relevant(spark, sf_dir):
     """
     passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("turn_id"), "text")
-    raw = F.regexp_extract_all(F.lower("passage"), F.lit("[a-z0-9]+"), F.lit(0))
+    raw = T.words(F.col("passage"))
     inner = F.filter(F.slice(raw, 2, F.greatest(F.size(raw) - 2, F.lit(0))), lambda t: F.length(t) > 1)
     terms = passages.select("query_id", F.explode(F.array_distinct(inner)).alias("term"))
     posted = index.postings(docs, "turn_id", terms=if_small(terms.select("term").distinct()))

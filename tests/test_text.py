@@ -27,6 +27,11 @@ def test_tokens_and_terms(spark):
     assert values(spark, T.nfkc, ["ﬁ Ａ"]) == ["fi A"]
 
 
+def test_tokens_are_of_the_nfkc_form(spark):
+    texts = ["ﬁnance", "RM１２ ３", "x² ＡＢ", "cafe\u0301s", "Kanak-kanak", None]
+    assert values(spark, T.tokens, texts) == [["finance"], ["rm12", "3"], ["x2", "ab"], ["caf"], ["kanak", "kanak"], []]
+
+
 def test_snippets(spark):
     far = "Word one. " * 30 + "Before it. The diesel price. End."
     assert values(spark, lambda c: T.snippet_start(c, F.array(F.lit("diesel"))), [far, "No term here. None.", ""]) == [300, 0, 0]
@@ -85,3 +90,12 @@ def test_chunks(spark):
     assert {r.n_parts for r in got if r.turn_id == "D:0003"} == {len(got) - 1} and "stage_directions" not in got[0].asDict()
     with pytest.raises(ValueError, match="overlap"):
         split_text("x" * 100, 10, 10)
+
+
+def test_relevant_passages_of_the_nfkc_form(spark, tmp_path):
+    from rostra.queries.retrieval import _relevant
+
+    passage = "the ﬁnance ﬁgures here"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, f"so {passage} end"), (2, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.query_id, r.turn_id) for r in _relevant(spark, str(tmp_path)).collect()] == [(1, 1)]
