@@ -149,7 +149,8 @@ _METRICS = """
 def _relevant(spark, sf_dir):
     """Documents that hold a question's passage verbatim.
 
-    A passage's tokens but the first and last must be tokens of the document; only documents with the rarest of them are compared.
+    A passage's tokens but the first and last must be tokens of the document; only documents with the rarest of them are compared. Passages
+    without such a token are compared with all documents.
     """
     passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("turn_id"), "text")
@@ -160,7 +161,9 @@ def _relevant(spark, sf_dir):
     counts = terms.join(posted.groupBy("term").agg(F.count("*").alias("df")), "term")
     rarest = counts.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     pairs = posted.join(if_small(rarest), "term").select("query_id", "turn_id")
-    return pairs.join(docs, "turn_id").join(if_small(passages), "query_id").where(F.contains("text", "passage")).select("query_id", "turn_id")
+    holding = pairs.join(docs, "turn_id").join(if_small(passages), "query_id").where(F.contains("text", "passage")).select("query_id", "turn_id")
+    bare = passages.join(terms.select("query_id").distinct(), "query_id", "left_anti")
+    return holding.unionAll(docs.join(if_small(bare), F.contains("text", "passage")).select("query_id", "turn_id"))
 
 
 def _rounded(df):

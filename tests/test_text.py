@@ -99,3 +99,11 @@ def test_relevant_passages_of_the_nfkc_form(spark, tmp_path):
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, f"so {passage} end"), (2, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.query_id, r.turn_id) for r in _relevant(spark, str(tmp_path)).collect()] == [(1, 1)]
+
+
+def test_relevant_passages_without_inner_tokens(spark, tmp_path):
+    from rostra.queries.retrieval import _relevant
+
+    spark.createDataFrame([(1, "two words"), (2, "только кириллица здесь"), (3, "one inner token"), (4, "absent"), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "just two words."), (2, "а только кириллица здесь"), (3, "has one inner token"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.query_id, r.turn_id) for r in _relevant(spark, str(tmp_path)).collect()) == [(1, 1), (2, 2), (3, 3)]
