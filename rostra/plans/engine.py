@@ -32,7 +32,7 @@ class Engine:
     log_path: str | None = None
 
     def search(self, questions: DataFrame, filters: retrieve.Filters | None = None, top_k: int = retrieve.TOP, mode: str = "sparse", rerank: bool = True, query_vectors: DataFrame | None = None, versions: DataFrame | None = None, least: float = retrieve.LEAST) -> tuple[DataFrame, DataFrame]:
-        """(hits, gate) for questions (query_id, text); versions (query_id, version, text) adds translations, each a branch of its own."""
+        """(hits, gate) for questions (query_id, text); versions (query_id, version, text) adds translations, each a keyword branch of its own."""
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
         asked = versions if versions is not None else questions.withColumn("version", F.lit(0))
