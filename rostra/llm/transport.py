@@ -2,13 +2,16 @@
 
 mux() carries a payload of 8-bit samples as one private elementary stream: access units of UNIT bytes, each in a packetised
 elementary-stream packet with a presentation time stamp; at each random-access point the program tables are repeated and
-the packet carries a clock reference. demux() parses any stream of 188-byte packets: program association and map tables
+the packet carries a clock reference. demux() parses streams of 188-byte packets, within the limits below: program association and map tables
 (checksums verified), continuity counters for each PID, elementary packets reassembled over packet borders, time
 stamps with byte offsets and random-access flags.
 
 A null payload has no stream (null). demux(null) is null; packets without the sync byte and a last packet cut short
 are counted as sync errors and left out; a section with a wrong checksum is counted and ignored; a continuity gap is
 counted and the data kept. An elementary stream without any unit has an empty payload.
+
+Limits of demux(): a packet's first program-table section alone is read, and only if it ends in that packet (else it counts as a table error);
+of several map sections on one PID the last counts for every program; a repeated packet's payload is kept twice.
 """
 
 from __future__ import annotations
