@@ -14,8 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch sent to a Python worker: whole texts may be megabytes long, so a batch must be short.
-ARROW_ROWS = 256
+#: Bytes of one Arrow batch sent to a Python worker: whole texts may be megabytes long.
+ARROW_BYTES = 8 << 20
 
 _fallback: str | None = None
 _written: list[tuple[SparkSession, str]] = []
@@ -46,14 +46,22 @@ def stage(df: DataFrame, label: str, partitions: int | None = None) -> DataFrame
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     out = df.coalesce(partitions) if partitions else df
     out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def drop(staged: DataFrame) -> None:
+    """Delete what stage() wrote, once all that reads it is written."""
+    remove(staged.sparkSession, staged.staged_path)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short enough for megabyte texts; a shorter setting of the session's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, ARROW_ROWS)
+    """Bound Arrow batches by bytes, for megabyte texts; a smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
+        spark.conf.set(key, ARROW_BYTES)
 
 
 def remove(spark: SparkSession, path: str) -> None:
