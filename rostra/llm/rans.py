@@ -10,10 +10,12 @@ A file set is a folder with three Parquet tables, so that any store Spark writes
 * ``raw`` (removed when the set is complete): ids as they came from the tokenizer.
 
 Each block is coded by LANES interleaved coders of 64-bit states and 32-bit words: position p belongs to lane p mod LANES.
-A checkpoint holds the word offset and all states at a step, so several workers can decode one block.
+A checkpoint holds the word offset and all states at a step: read() decodes each block as a whole, read_range() any range of ids from the
+checkpoints around it, however long the block is.
 
-Null and empty texts have the end id alone. Equal doc_ids stand side by side in an order of their ids' bytes; null ids come
-first. An empty table gives an empty set.
+doc_id must be an integer. Null and empty texts have the end id alone. A text of more than BLOCK_IDS ids is a block by itself or with
+those before it. Equal doc_ids stand side by side in an order of their ids' bytes, so repeated rows get equal results but for start; null ids come
+first. An empty table gives an empty set. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,44 +24,55 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostra.llm.staging import bound_batches, new_path, remove
 
 PRECISION, LANES, END_ID = 18, 1024, 1
-#: A block is closed at the first document end from this many ids on; steps between checkpoints.
-BLOCK_IDS, CHECKPOINT_STEPS = 1 << 17, 128
-#: Chunks a worker remembers with their ids.
-REMEMBERED = 1_000_000
+#: A block is closed at the first document end from this many ids on; steps between checkpoints (65,536 ids).
+BLOCK_IDS, CHECKPOINT_STEPS = 1 << 19, 64
+#: Bytes of units with their ids that a worker remembers.
+REMEMBERED_BYTES = 192 << 20
 _LOW = np.uint64(1 << 31)
 
 
 # --- tokenizer -----------------------------------------------------------------------------------------------------
 
 
+#: The splitting pattern and the replaced white space of the tokenizers whose chunks can be encoded apart.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BLANKS = {"Regex": r"\s+"}
 #: What may follow a word's letters in a chunk without touching its unit.
 _MARKS = "!#$%&()*+,-./:;=?@[]^{|}~"
+_LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123)]))
+#: What a remembered unit takes beside its letters and ids, in bytes.
+_UNIT_BYTES = 160
 
 
 class WordCoder:
-    """Token ids, as little-endian bytes (16 bits each where the vocabulary allows, else 32), by way of the chunks between blanks.
+    """Token ids by way of the chunks between white space; 16 bits each where the vocabulary allows, else 32.
 
     It is exact for tokenizers that drop white space and never join what it separates: their whole-text encoding is the
-    concatenation of the chunks' encodings. usable() proves that of a tokenizer file; others encode whole texts. Chunks are remembered
-    until there are REMEMBERED of them; later ones only while their batch lasts.
+    concatenation of the chunks' encodings. usable() tells those by the steps in their file; with others, whole texts are encoded.
+    A batch's distinct chunks fall into units (lower-cased letters, the marks after them, or a chunk as it is), units that are new go to the
+    library, and the ids of all chunks are gathered at once. Units are remembered up to REMEMBERED_BYTES; later ones only while their batch lasts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
 
-        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = self.usable(path)
+        self.by_word, self.most = self.usable(path), most
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.known: dict[str, int] = {"": 0}  # the place of each unit in starts and sizes
+        self.ids, self.starts, self.sizes = np.empty(0, self.kind), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.held = 0
 
     @staticmethod
     def usable(path: str) -> bool:
@@ -70,17 +83,16 @@ class WordCoder:
         splitters = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [made.get("pre_tokenizer") or {}]
         first, steps = splitters[0], (made.get("normalizer") or {}).get("normalizers") or []
         return (
-            first.get("type") == "Split"
-            and first.get("behavior") == "Removed"
-            and bool(first.get("invert"))
-            and "\\s" not in first["pattern"].get("Regex", "\\s").replace("[^\\s", "")
-            and all(not s.get("add_prefix_space") for s in splitters)
+            (first.get("type"), first.get("behavior"), first.get("invert"), first.get("pattern")) == ("Split", "Removed", True, {"Regex": _PATTERN})
+            and all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in splitters[1:])
             and {s["type"] for s in steps} <= {"NFC", "Replace", "Lowercase"}
-            and all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]) for t in made.get("added_tokens", []))
+            and {"type": "Lowercase"} in steps
+            and all((s["pattern"], s["content"]) == (_BLANKS, " ") for s in steps if s["type"] == "Replace")
+            and all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\r\v\f")) for t in made.get("added_tokens", []))
         )
 
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     @staticmethod
     def base(chunk: str) -> str:
@@ -94,44 +106,81 @@ class WordCoder:
         low = word.lower()
         return low if low.isalpha() and unicodedata.is_normalized("NFC", word) and len(low) == len(word) and "\u03c2" not in low else ""
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode new chunks. All new words go to the library in one call: as units of letters, they don't touch each other."""
-        known, bases = self.known, list(map(self.base, new))
-        words = list({w for w in bases if w and w not in known})
+    def _learn(self, units: list[str], words: bool) -> None:
+        """Remember new units. All words go to the library in one call: as units of letters, they don't touch each other."""
+        ids = owner = None
         if words:
-            coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            units = np.array(coded.word_ids, np.int64)
-            cuts = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
-            if len(cuts) == len(words) + 1:  # else some word is no single unit
-                raw, wide = np.array(coded.ids, self.kind).tobytes(), int(self.kind[-1])
-                known.update(zip(words, (raw[wide * a : wide * z] for a, z in zip(cuts, cuts[1:], strict=False)), strict=True))
-            else:
-                known.update((w, self._library(w)) for w in words)
-        for chunk, word in zip(new, bases, strict=True):
-            if word and chunk not in known:
-                marks = chunk[len(word) :]
-                if marks and marks not in known:
-                    known[marks] = self._library(marks)
-                known[chunk] = known[word] + known[marks] if marks else known[word]
-            elif chunk not in known:
-                known[chunk] = self._library(chunk)
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_batch([text])[0]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
+            out = self.tokenizer.encode(" ".join(units), add_special_tokens=False)
+            ids, owner = np.array(out.ids, self.kind), np.array(out.word_ids, np.int64)
+            ends = np.append(np.flatnonzero(owner[1:] != owner[:-1]) + 1, len(ids))
+        if ids is None or len(ends) != len(units):  # else each word is one unit
+            parts = [self._library(u) for u in units]
+            ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts], dtype=np.int64)
+        sizes = np.diff(ends, prepend=0)
+        self.known.update(zip(units, range(len(self.starts), len(self.starts) + len(units)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + ends - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+        self.held += sum(map(len, units)) + len(units) * _UNIT_BYTES + ids.nbytes
+
+    def _places(self, units: pa.Array, words: bool = False) -> np.ndarray:
+        """The places of units in starts and sizes, new ones learned."""
+        coded = units.dictionary_encode()
+        listed = coded.dictionary.to_numpy(zero_copy_only=False)
+        places = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
+        new = listed[places < 0].tolist()
+        if new:
+            at = len(self.starts)
+            self._learn(new, words)
+            places[places < 0] = np.arange(at, at + len(new))
+        return places[coded.indices.to_numpy(zero_copy_only=False)]
+
+    @staticmethod
+    def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """ids[start : start + size] of all starts and sizes, one after the other."""
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return ids[at]
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts (no nulls), where each text's begin, and the end)."""
         if not self.by_word:
-            return [self._library(t) for t in texts]
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        room, known = REMEMBERED - len(self.known), self.known
-        new = [c for c in set().union(*chunks) if c not in known]
-        kept = len(known)
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, own)) for own in chunks]
-        if len(new) > room:
-            while len(known) > kept:
-                known.popitem()  # the latest first
-        return out
+            parts = [self._library(t) for t in texts.to_pylist()]
+            return np.concatenate([np.empty(0, self.kind), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        units, state = len(self.known), (len(self.ids), len(self.starts), self.held)
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        chunks, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        letters = pc.ascii_rtrim(chunks, characters=_MARKS)
+        plain = pc.and_(pc.string_is_ascii(chunks), pc.ascii_is_alpha(letters)).to_numpy(zero_copy_only=False)
+        place = np.zeros((len(chunks), 2), np.int64)
+        if plain.any():
+            place[plain, 0] = self._places(pc.ascii_lower(letters.filter(pa.array(plain))), words=True)
+            place[plain, 1] = self._places(pc.ascii_ltrim(chunks.filter(pa.array(plain)), characters=_LETTERS))
+        if not plain.all():
+            rest = chunks.filter(pa.array(~plain)).to_pylist()
+            bases = [self.base(c) for c in rest]
+            own = pa.array(bases, pa.large_string())
+            whole = pa.array([c[len(b) :] if b else c for b, c in zip(bases, rest, strict=True)], pa.large_string())
+            named = np.array([bool(b) for b in bases])
+            heads = np.zeros(len(rest), np.int64)
+            heads[named] = self._places(own.filter(pa.array(named)), words=True)
+            place[~plain, 0], place[~plain, 1] = heads, self._places(whole)
+        sizes = self.sizes[place]
+        own = self._gathered(self.ids, self.starts[place].ravel(), sizes.ravel())  # the ids of each distinct chunk, and then of all
+        size = sizes.sum(axis=1)
+        ids = self._gathered(own, (np.cumsum(size) - size)[codes], size[codes])
+        before = np.concatenate([[0], np.cumsum(size[codes], dtype=np.int64)])
+        if self.held > self.most:
+            while len(self.known) > units:
+                self.known.popitem()  # the latest first
+            self.ids, self.starts, self.sizes, self.held = self.ids[: state[0]].copy(), self.starts[: state[1]].copy(), self.sizes[: state[1]].copy(), state[2]
+        offsets = split.offsets.to_numpy(zero_copy_only=False)
+        return ids, before[offsets - offsets[0]]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch(pa.array([text]))[0].tolist()
 
 
 _coders: dict[str, WordCoder] = {}
@@ -267,10 +316,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bloc
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, edges = coder(tokenizer), np.array(cuts, np.int64)
         for batch in batches:
-            coded = own.encode_batch([t or "" for t in batch.column(1).to_pylist()])
-            if kind != own.kind:
-                coded = [np.frombuffer(x, own.kind).astype(kind).tobytes() for x in coded]
-            ids = pa.array([x + tail for x in coded], pa.binary())
+            coded, cut = own.encode_batch(batch.column(1).fill_null(""))
+            raw, cut = coded.astype(kind).tobytes(), (cut * wide).tolist()
+            ids = pa.array([raw[a:z] + tail for a, z in zip(cut, cut[1:], strict=False)], pa.binary())
             keys = batch.column(0)
             at = np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, keys.fill_null(0).to_numpy(), side="left"))
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), keys, ids], names=["part", "doc_id", "ids"])
@@ -398,6 +446,36 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
+def read_range(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """(start, ids binary of little-endian 32-bit ids): the ids at global positions first to last - 1, a row for each piece between checkpoints.
+
+    Only the words of the checkpointed pieces that hold such positions reach a decoder, each piece as a row of its own.
+    """
+    tables = read_tables(spark, path)
+    blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks").where((F.col("start") < last) & (F.col("start") + F.col("n") > first))
+    begin = F.array(F.struct(F.lit(0).alias("step"), F.lit(0).cast("long").alias("offset"), "states"))
+    marks = blocks.select("start", "n", "words", F.concat(begin, "checkpoints").alias("marks")).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("marks"))))
+    own, after = F.get("marks", F.col("k") - 1), F.get("marks", F.col("k"))
+    pieces = marks.select(
+        "start",
+        "n",
+        own["step"].alias("step"),
+        F.coalesce(after["step"], F.ceil(F.col("n") / LANES).cast("int")).alias("until"),
+        own["states"].alias("states"),
+        F.expr("substring(words, cast(4 * get(marks, k - 1).offset + 1 as int), cast(coalesce(4 * (get(marks, k).offset - get(marks, k - 1).offset), octet_length(words)) as int))").alias("words"),
+    ).where((F.col("start") + F.col("step") * LANES < last) & (F.col("start") + F.least("n", F.col("until").cast("long") * LANES) > first))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = decode(row["words"], row["states"], row["n"], tables, first_step=row["step"], last_step=row["until"])
+                at = row["start"] + row["step"] * LANES
+                own = ids[max(0, first - at) : last - at].astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([max(at, first)], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["start", "ids"])
+
+    return pieces.mapInArrow(run, "start long, ids binary")
+
+
 def write_new(docs: DataFrame, tokenizer: str) -> str:
     """write() to a fresh path of the shared folder; returns it."""
     path = new_path(docs.sparkSession, "tokens")
