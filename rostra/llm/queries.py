@@ -43,7 +43,7 @@ def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.report(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", "depth", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,20 +107,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
-#: Copies of 1, 2 and 4 lines that begin after an equal run; longer ones delete nothing more, so depth is told up to its powers of two.
+#: Repeated runs of every length, each one line longer than one of the length before.
 _OP3_SQL = r"""
 WITH RECURSIVE
-     d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, sha256(coalesce(text, ''))) AS uid, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-     p AS (SELECT uid, l, unnest(generate_series(1, len(l))) AS s FROM d),
-     e AS (SELECT i AS j, (1 << i) AS n FROM generate_series(0, 20) t(i)),
-     w AS (SELECT uid, s, n, array_to_string(l[s:s + n - 1], chr(10)) AS t FROM p JOIN e ON s + n - 1 <= len(l)),
-     h AS (SELECT uid, s, n, sha256(t) AS h, length(t) AS chars FROM w),
-     f AS (SELECT *, row_number() OVER (PARTITION BY n, h ORDER BY uid, s) AS k FROM h),
-     c AS (SELECT uid, s, n FROM f WHERE k > 1 AND (n >= 4 OR chars >= 200)),
+     d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, sha256(coalesce(text, ''))) AS uid, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+     p AS (SELECT uid, s, sha256(l[s]) AS h, length(l[s]) AS chars FROM (SELECT uid, l, unnest(generate_series(1, len(l))) AS s FROM d)),
+     r AS (SELECT uid, s, 1 AS n, h, chars FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)
+           UNION ALL
+           SELECT uid, s, n, h, chars FROM (
+               SELECT r.uid, r.s, r.n + 1 AS n, sha256(r.h || p.h) AS h, r.chars + 1 + p.chars AS chars, count(*) OVER (PARTITION BY r.h, p.h) AS c
+               FROM r JOIN p ON p.uid = r.uid AND p.s = r.s + r.n) WHERE c > 1),
+     f AS (SELECT *, row_number() OVER (PARTITION BY n, h ORDER BY uid, s) AS k FROM r),
+     c AS (SELECT uid, s, max(n) AS n FROM f WHERE k > 1 AND (n >= 4 OR chars >= 200) GROUP BY uid, s),
      g AS (SELECT DISTINCT uid, unnest(generate_series(s, s + n - 1)) AS s FROM c),
-     a AS (SELECT uid, max(n) AS depth FROM c GROUP BY uid),
+     i AS (SELECT uid, s, s - row_number() OVER (PARTITION BY uid ORDER BY s) AS run FROM g),
+     a AS (SELECT uid, count(*) AS n_runs, max(size) AS longest FROM (SELECT uid, run, count(*) AS size FROM i GROUP BY uid, run) GROUP BY uid),
      b AS (SELECT uid, list(s) AS gone FROM g GROUP BY uid)
-SELECT doc_id, CAST(len(l) AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_removed, CAST(coalesce(depth, 0) AS INTEGER) AS depth,
+SELECT doc_id, CAST(len(l) AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_removed, CAST(coalesce(n_runs, 0) AS INTEGER) AS n_runs,
+       CAST(coalesce(longest, 0) AS INTEGER) AS longest_run,
        sha256(array_to_string(list_filter(l, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10))) AS kept_sha256
 FROM d LEFT JOIN a USING (uid) LEFT JOIN b USING (uid)
 """

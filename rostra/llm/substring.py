@@ -42,7 +42,7 @@ WINDOW = 35
 #: Lengths of the prefixes that strings are partitioned by, the last being the whole window.
 PREFIXES = (12, 24, WINDOW)
 #: Most rows of one prefix that are gathered; words of one batch of prefixes.
-GROUP, BATCH_WORDS = 20_000, 600_000
+GROUP, BATCH_WORDS = 1_000, 600_000
 #: What a task merges before it is shuffled: anchors, distinct texts, and bytes of text and strings.
 BLOCK_ANCHORS, BLOCK_KEYS, BLOCK_BYTES = 1 << 20, 1 << 20, 32 << 20
 

@@ -7,26 +7,24 @@ from tests.llm.data import docs, texts
 
 
 def brute(rows, min_lines=L.MIN_LINES, min_chars=L.MIN_CHARS):
-    """Rows in order; of each, lines, kept lines and depth."""
+    """Rows in order; of each, lines, deleted lines, their runs, the longest, kept lines: every run length is judged."""
     rows = sorted(((-1 if i is None else i, k, (t or "").split("\n")) for k, (i, t) in enumerate(rows)))
     seen, out = set(), []
     for i, _, lines in rows:
-        gone, depth = set(), 0
+        gone = set()
         for p in range(len(lines)):
-            d = 1
-            while p + d <= len(lines):
+            for d in range(1, len(lines) - p + 1):
                 run = tuple(lines[p : p + d])
-                if (d, run) in seen and (d >= min_lines or len("\n".join(run)) >= min_chars):
+                if run in seen and (d >= min_lines or len("\n".join(run)) >= min_chars):
                     gone |= set(range(p, p + d))
-                    depth = max(depth, d)
-                seen.add((d, run))
-                d *= 2
-        out.append((i, len(lines), len(gone), depth, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+                seen.add(run)
+        runs = "".join("x" if k in gone else " " for k in range(len(lines))).split()
+        out.append((i, len(lines), len(gone), len(runs), max(map(len, runs), default=0), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return sorted(out, key=str)
 
 
 def check(spark, rows, **options):
-    got = [(-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_removed, r.depth, r.kept) for r in L.report(docs(spark, rows), **options).collect()]
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.longest_run, r.kept) for r in L.report(docs(spark, rows), **options).collect()]
     assert sorted(got, key=str) == brute(rows, **options)
 
 
@@ -54,31 +52,29 @@ def test_remove(spark):
     got = L.remove(table)
     assert got.columns == table.columns and got.dtypes == table.dtypes
     rows = got.collect()
-    assert sorted(r.text for r in rows) == sorted(x[4] for x in brute(rough(2))) and all(r.n_chars == len(r.text) for r in rows)
+    assert sorted(r.text for r in rows) == sorted(x[5] for x in brute(rough(2))) and all(r.n_chars == len(r.text) for r in rows)
     assert [r.text for r in L.remove(docs(spark, [(1, None)])).collect()] == [None]
 
 
-def brute_every(rows, min_lines=L.MIN_LINES, min_chars=L.MIN_CHARS):
-    """Rows in order; of each, kept lines, every run length judged."""
-    rows = sorted(((-1 if i is None else i, k, (t or "").split("\n")) for k, (i, t) in enumerate(rows)))
-    seen, out = set(), []
-    for i, _, lines in rows:
-        gone = set()
-        for p in range(len(lines)):
-            for d in range(1, len(lines) - p + 1):
-                run = tuple(lines[p : p + d])
-                if run in seen and (d >= min_lines or len("\n".join(run)) >= min_chars):
-                    gone |= set(range(p, p + d))
-                seen.add(run)
-        out.append((i, len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
-    return sorted(out)
-
-
-@pytest.mark.parametrize("options", [{"every_length": True}, {"every_length": True, "min_lines": 8, "min_chars": 150}, {"min_lines": 3, "min_chars": 10**9}, {"min_lines": 7}])
+@pytest.mark.parametrize("options", [{}, {"min_lines": 8, "min_chars": 150}, {"min_lines": 3, "min_chars": 10**9}, {"min_lines": 7}])
 def test_every_length(spark, options):
+    """Copies of every number of lines, among them one of exactly three that counts by its characters only."""
     long = "a" * 195 + "\n\n" + "b" * 195
     runs = [f"x{k} " + "x" * 30 for k in range(7)]
     made = [(100, long), (101, f"own\n{long}\nother"), (102, "\n".join(runs)), *((110 + n, "\n".join(["first", *runs[:n], f"last {n}"])) for n in range(1, 8))]
-    rows = rough(2) + made
-    got = sorted((r.doc_id, r.n_removed, r.kept) for r in L.report(docs(spark, rows), **options).collect())
-    assert got == brute_every(rows, **{k: v for k, v in options.items() if k != "every_length"})
+    check(spark, rough(2) + made, **options)
+
+
+def test_three_lines_go(spark):
+    block = "\n".join(letter * 80 for letter in "abc")
+    got = {r.doc_id: (r.n_removed, r.kept) for r in L.report(docs(spark, [(1, f"{block}\nx"), (2, f"y\n{block}")])).collect()}
+    assert got == {1: (0, f"{block}\nx"), 2: (3, "y")}
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    long = "\n".join(f"line {k % 30_000} of a long text" for k in range(60_000))
+    table = docs(spark, [(1, long), (2, "line 7 of a long text")]).selectExpr("*", "1 AS uid", "2 AS line", "3 AS chars", "4 AS gone", "'x' AS h1", "5 AS n")
+    out = L.remove(table)
+    assert out.columns == table.columns
+    rows = {r.doc_id: r.text for r in out.collect()}
+    assert rows[1].count("\n") == 29_999 and rows[2] == "line 7 of a long text"
