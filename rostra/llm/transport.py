@@ -2,16 +2,16 @@
 
 mux() carries a payload of 8-bit samples as one private elementary stream: access units of UNIT bytes, each in a packetised
 elementary-stream packet with a presentation time stamp; at each random-access point the program tables are repeated and
-the packet carries a clock reference. demux() parses streams of 188-byte packets, within the limits below: program association and map tables
-(checksums verified), continuity counters for each PID, elementary packets reassembled over packet borders, time
-stamps with byte offsets and random-access flags.
-
-A null payload has no stream (null). demux(null) is null; packets without the sync byte and a last packet cut short
-are counted as sync errors and left out; a section with a wrong checksum is counted and ignored; a continuity gap is
-counted and the data kept. An elementary stream without any unit has an empty payload.
-
-Limits of demux(): a packet's first program-table section alone is read, and only if it ends in that packet (else it counts as a table error);
-of several map sections on one PID the last counts for every program; a repeated packet's payload is kept twice.
+the packet carries a clock reference. demux() parses streams of 188-byte packets: program association and map tables
+(reassembled over packet borders, several in a packet, checksums verified, the latest version of each), continuity counters for each PID, elementary
+packets reassembled over packet borders, time stamps with byte offsets and random-access flags.
+
+A null text is carried like an empty one; demux of null is null. Packets without the sync byte, packets marked as damaged and a last packet cut short
+are counted as sync errors and left out. A section with a wrong checksum, or one that doesn't end, is counted and ignored; so is one that isn't in force yet, without
+being counted. A packet may be sent twice: the second one, of equal counter and payload, is left out and no error. Any other
+step of the counter but one is a continuity error, unless the packet announces a discontinuity; the data are kept. An elementary stream without
+any unit has an empty payload; a stream in several programs is listed in each. Texts are taken whole, however long; equal texts give equal streams; an empty table gives an
+empty one. The columns that results go to are parameters and replace columns of that name.
 """
 
 from __future__ import annotations
@@ -144,20 +144,53 @@ class Parsed:
     table_errors: int = 0
 
 
-def _sections(packets: np.ndarray, starts: np.ndarray, parsed: Parsed) -> list[bytes]:
-    """Distinct valid sections that begin in the packets of one PID (each within one packet)."""
+def _kept(rows: np.ndarray) -> np.ndarray:
+    """Which packets of one PID, all with payload, are no repeats of the one before."""
+    same = np.zeros(len(rows), bool)
+    same[1:] = (rows[1:, 3] & 15 == rows[:-1, 3] & 15) & (rows[1:, 4:] == rows[:-1, 4:]).all(axis=1)
+    same[1:] &= ~same[:-1]  # a packet may be repeated once
+    return ~same
+
+
+def _gaps(rows: np.ndarray) -> np.ndarray:
+    """Which packets of one PID, repeats left out, don't follow the one before by their counter; an announced discontinuity is none."""
+    gap = np.zeros(len(rows), bool)
+    gap[1:] = (rows[1:, 3] - rows[:-1, 3] & 15) != 1
+    announced = (rows[:, 3] & 0x20 > 0) & (rows[:, 4] > 0) & (rows[:, 5] & 0x80 > 0)
+    return gap & ~announced
+
+
+def _sections(rows: np.ndarray, starts: np.ndarray, table_id: int, parsed: Parsed) -> list[bytes]:
+    """The valid sections of a table in force that the packets of one PID hold, in order, each distinct one once."""
     found: dict[bytes, None] = {}
-    for row, start in zip(packets, starts, strict=True):
-        if not row[1] & 0x40 or start >= PACKET:
-            continue
-        body = row[start + 1 + int(row[start]) :].tobytes() if start + 1 + int(row[start]) < PACKET else b""
-        if len(body) < 3:
-            continue
-        section = body[: 3 + (int.from_bytes(body[1:3]) & 0x0FFF)]
-        if len(section) < 12 or section_crc(section[:-4]) != int.from_bytes(section[-4:]):
+    held = b""  # of a section that goes on
+
+    def take(data: bytes) -> bytes:
+        """Keep the whole sections at the begin of data; returns the rest of one that goes on."""
+        while data and data[0] != 0xFF:  # what follows the last section is filled up with ones
+            size = 3 + (int.from_bytes(data[1:3]) & 0x0FFF) if len(data) >= 3 else len(data) + 1
+            if size > len(data):
+                return data
+            section, data = data[:size], data[size:]
+            if size < 12 or section_crc(section[:-4]) != int.from_bytes(section[-4:]):
+                parsed.table_errors += 1
+            elif section[0] == table_id and section[5] & 1:
+                found.pop(section, None)
+                found[section] = None
+        return b""
+
+    for row, start, gap in zip(rows, starts, _gaps(rows), strict=True):
+        payload = row[start:].tobytes()
+        if gap and held:
             parsed.table_errors += 1
-            continue
-        found[section] = None
+            held = b""
+        if not row[1] & 0x40:
+            held = take(held + payload) if held else held
+        elif payload:
+            if held and take(held + payload[1 : 1 + payload[0]]):
+                parsed.table_errors += 1
+            held = take(payload[1 + payload[0] :])
+    parsed.table_errors += bool(held)
     return list(found)
 
 
@@ -166,43 +199,57 @@ def demux(media: bytes) -> Parsed:
     parsed = Parsed()
     whole = len(media) // PACKET
     rows = np.frombuffer(media, np.uint8, whole * PACKET).reshape(whole, PACKET)
-    good = rows[:, 0] == SYNC
+    good = (rows[:, 0] == SYNC) & (rows[:, 1] & 0x80 == 0)
     parsed.sync_errors = int(whole - good.sum()) + (len(media) % PACKET > 0)
     offsets = np.flatnonzero(good) * PACKET
     rows = rows[good]
     parsed.packets = len(rows)
     pids = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
     control = rows[:, 3] >> 4 & 3
-    starts = np.where(control & 2 > 0, 5 + rows[:, 4].astype(np.int32), 4)
-    starts = np.where(control & 1 > 0, np.minimum(starts, PACKET), PACKET)
-
-    def table(pid: int, table_id: int) -> list[bytes]:
-        return [s for s in _sections(rows[pids == pid], starts[pids == pid], parsed) if s[0] == table_id]
-
-    for section in table(0, 0):
+    starts = np.minimum(np.where(control & 2 > 0, 5 + rows[:, 4].astype(np.int32), 4), PACKET)
+
+    def of(pid: int) -> np.ndarray:
+        own = np.flatnonzero((pids == pid) & (control & 1 > 0))
+        return own[_kept(rows[own])] if len(own) else own
+
+    def table(pid: int, table_id: int) -> dict[tuple[int, int], bytes]:
+        """The sections of the latest version of each table of a PID, by (number of the table, number of the section)."""
+        latest: dict[tuple[int, int], bytes] = {}
+        for section in _sections(rows[of(pid)], starts[of(pid)], table_id, parsed):
+            number = int.from_bytes(section[3:5])
+            for key in [k for k, old in latest.items() if k[0] == number and (old[5] ^ section[5]) & 0x3E]:
+                del latest[key]
+            latest[number, section[6]] = section
+        return latest
+
+    maps: dict[int, dict[tuple[int, int], bytes]] = {}
+    for section in table(0, 0).values():
         for at in range(8, len(section) - 4, 4):
-            number, pid = struct.unpack_from(">HH", section, at)
-            if number:
-                for own in table(pid & 0x1FFF, 2)[-1:]:
-                    clock, info = struct.unpack_from(">HH", own, 8)
-                    parsed.programs.append((number, pid & 0x1FFF, clock & 0x1FFF))
-                    at_stream = 12 + (info & 0x0FFF)
-                    while at_stream + 5 <= len(own) - 4:
-                        kind, elementary, extra = struct.unpack_from(">BHH", own, at_stream)
-                        parsed.streams.append(_elementary(Stream(elementary & 0x1FFF, kind), rows, pids, control, starts, offsets, parsed))
-                        at_stream += 5 + (extra & 0x0FFF)
+            number, pid = (x & mask for x, mask in zip(struct.unpack_from(">HH", section, at), (0xFFFF, 0x1FFF), strict=True))
+            if not number:
+                continue
+            if pid not in maps:
+                maps[pid] = table(pid, 2)
+            for (program, _), own in maps[pid].items():
+                if program != number:
+                    continue
+                clock, info = struct.unpack_from(">HH", own, 8)
+                parsed.programs.append((number, pid, clock & 0x1FFF))
+                at_stream = 12 + (info & 0x0FFF)
+                while at_stream + 5 <= len(own) - 4:
+                    kind, elementary, extra = struct.unpack_from(">BHH", own, at_stream)
+                    mine = of(elementary & 0x1FFF)
+                    parsed.streams.append(_elementary(Stream(elementary & 0x1FFF, kind), rows[mine], control[mine], starts[mine], offsets[mine], parsed))
+                    at_stream += 5 + (extra & 0x0FFF)
     return parsed
 
 
-def _elementary(stream: Stream, rows, pids, control, starts, offsets, parsed: Parsed) -> Stream:
-    """Reassemble one PID's elementary packets; counts its packets and continuity errors and appends its units."""
-    own = np.flatnonzero((pids == stream.pid) & (control & 1 > 0))
-    stream.packets = len(own)
-    if not len(own):
+def _elementary(stream: Stream, mine: np.ndarray, control: np.ndarray, begin: np.ndarray, offsets: np.ndarray, parsed: Parsed) -> Stream:
+    """Reassemble the elementary packets of one PID's packets; counts them and their continuity errors and appends their units."""
+    stream.packets = len(mine)
+    if not len(mine):
         return stream
-    counters = rows[own, 3] & 15
-    stream.continuity_errors = int(((counters[1:] - counters[:-1] & 15) != 1).sum())
-    mine, begin = rows[own], starts[own]
+    stream.continuity_errors = int(_gaps(mine).sum())
     data = mine[np.arange(PACKET) >= begin[:, None]].tobytes()
     places = np.concatenate([[0], np.cumsum(PACKET - begin)])
     heads = np.flatnonzero(mine[:, 1] & 0x40)
@@ -219,8 +266,8 @@ def _elementary(stream: Stream, rows, pids, control, starts, offsets, parsed: Pa
         if data[at + 7] & 0x80 and body - at >= 14:
             a, b, c = struct.unpack_from(">BHH", data, at + 9)
             stamp = (a >> 1 & 7) << 30 | b >> 1 << 15 | c >> 1
-        marked = bool(control[own[head]] & 2 and mine[head, 4] and mine[head, 5] & 0x40)
-        parsed.units.append(Unit(stream.pid, stamp, int(offsets[own[head]]), max(0, end - body), marked))
+        marked = bool(control[head] & 2 and mine[head, 4] and mine[head, 5] & 0x40)
+        parsed.units.append(Unit(stream.pid, stamp, int(offsets[head]), max(0, end - body), marked))
         pieces.append(data[body:end])
     stream.payload = b"".join(pieces)
     return stream

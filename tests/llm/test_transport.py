@@ -53,3 +53,77 @@ def test_table(spark):
     parsed = T.read_media(T.write_media(table.where("doc_id = 21"))).first().parsed
     assert parsed.streams[0].payload.rstrip() == dict(texts())[21].encode() and parsed.units[0].random_access
     assert T.digests(T.store(docs(spark, []))).count() == 0
+
+
+def packets(media):
+    return [media[k : k + 188] for k in range(0, len(media), 188)]
+
+
+def of(media, pid):
+    return [k for k, p in enumerate(packets(media)) if (p[1] & 0x1F) << 8 | p[2] == pid]
+
+
+def test_repeated_packets_and_announced_jumps():
+    data = bytes(k % 251 for k in range(200_000))
+    media = T.mux(data)
+    rows, own = packets(media), of(media, T.STREAM_PID)
+    twice = [q for k, p in enumerate(rows) for q in ([p, p] if k in own[2::7] or k == 0 else [p])]
+    p = T.demux(b"".join(twice))
+    assert p.streams[0].payload == data and p.streams[0].continuity_errors == 0 and p.table_errors == 0
+    thrice = T.demux(b"".join(rows[: own[3]] + [rows[own[3]]] * 3 + rows[own[3] + 1 :]))
+    assert thrice.streams[0].continuity_errors == 1
+    # A jump of the counter at a random-access point, whose adaptation field announces it.
+    at = own[[k for k, o in enumerate(own) if rows[o][3] & 0x20 and rows[o][5] & 0x40][-1]]
+    jumped = [bytearray(p) for p in rows]
+    for k in own[own.index(at) :]:
+        jumped[k][3] = jumped[k][3] & 0xF0 | (jumped[k][3] + 5) & 15
+    assert T.demux(b"".join(jumped)).streams[0].continuity_errors == 1
+    jumped[at][5] |= 0x80
+    p = T.demux(b"".join(jumped))
+    assert p.streams[0].continuity_errors == 0 and p.streams[0].payload == data
+
+
+def in_packets(pid, sections, first=0):
+    """Sections one after the other over as many packets as they take."""
+    data, out, starts, at = b"".join(sections), [], [], 0
+    for s in sections:
+        starts.append(at)
+        at += len(s)
+    at = 0
+    while at < len(data):
+        begins = [s for s in starts if at <= s < at + 183]
+        head = bytes([T.SYNC, (0x40 if begins else 0) | pid >> 8, pid & 255, 0x10 | (first + len(out)) & 15]) + (bytes([begins[0] - at]) if begins else b"")
+        piece = data[at : at + 188 - len(head)]
+        out.append((head + piece).ljust(188, b"\xff"))
+        at += len(piece)
+    return out
+
+
+def test_long_tables_several_sections_and_programs():
+    """A map longer than a packet, two programs' maps on one PID, several sections in a packet, a newer version, one not in force, one cut off."""
+    stream = lambda pid: bytes([6, 0xE0 | pid >> 8, pid & 255, 0xF0, 0])
+    first = T._section(2, 1, b"\xe1\x00\xf0\x00" + b"".join(stream(0x100 + k) for k in range(90)))
+    second = T._section(2, 2, b"\xe2\x00\xf0\x00" + stream(0x200))
+    newer = bytearray(T._section(2, 2, b"\xe2\x00\xf0\x00" + stream(0x201)))
+    newer[5] = 0xC3
+    newer = bytes(newer[:-4]) + T.section_crc(bytes(newer[:-4])).to_bytes(4)
+    later = bytearray(T._section(2, 2, b"\xe2\x00\xf0\x00" + stream(0x202)))
+    later[5] = 0xC4
+    later = bytes(later[:-4]) + T.section_crc(bytes(later[:-4])).to_bytes(4)
+    programs = T._section(0, 1, b"".join(bytes([0, n, 0xF0, 0]) for n in (1, 2)) + b"\x00\x00\xe0\x10")
+    tables = in_packets(0, [programs]) + in_packets(T.PMT_PID, [second, first, newer, later])
+    data = bytes(range(200)) * 30
+    media = b"".join(tables + [p for p in packets(T.mux(data)) if (p[1] & 0x1F) << 8 | p[2] == T.STREAM_PID])
+    p = T.demux(media)
+    assert p.table_errors == 0 and p.programs == [(1, T.PMT_PID, 0x100), (2, T.PMT_PID, 0x200)]
+    assert [s.pid for s in p.streams] == [*range(0x100, 0x100 + 90), 0x201] and p.streams[0].payload == data
+    cut = tables[:-1] if len(first) > 180 else tables
+    assert T.demux(b"".join(cut)).table_errors == 1
+    lost = T.demux(b"".join([tables[0], *tables[2:]]))
+    assert (1, T.PMT_PID, 0x100) not in lost.programs
+
+
+def test_clashing_columns_and_very_long_text(spark):
+    table = docs(spark, [(1, "x" * 5_000_000), (1, "x" * 5_000_000), (2, None)]).selectExpr("*", "1 AS media", "2 AS digest", "3 AS n_bytes")
+    rows = T.digests(T.store(table)).collect()
+    assert sorted(r.digest.payload_bytes for r in rows) == [192, 5_000_064, 5_000_064] and rows[0].digest == rows[1].digest or rows[1].digest == rows[2].digest
