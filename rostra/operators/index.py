@@ -81,3 +81,43 @@ def plan(current: DataFrame, state: DataFrame, stored: DataFrame, key: str = "do
 def removed(state: DataFrame, current: DataFrame, key: str = "doc_id") -> DataFrame:
     """Keys of the state that are no longer current."""
     return state.join(current, key, "left_anti").select(key)
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored keyword index: postings (term, key, tf, dl) in buckets of terms, and the corpus statistics."""
+
+    postings: DataFrame
+    stats: Stats
+    buckets: int
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """Postings of the terms (column term) only; the buckets of a bounded number of terms prune the scan."""
+        bucket = _bucket(F.col("term"), self.buckets)
+        return self.postings.join(terms.select("term", bucket.alias("bucket")), ["bucket", "term"]).drop("bucket")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build(chunks: DataFrame, path: str, key: str = "chunk_id", most_documents: int | None = None, buckets: int = 64) -> Index:
+    """Write the keyword index of chunks (key, text) to a folder, in one pass over the texts: postings by bucket of term, and the statistics.
+
+    With most_documents (a choice of the caller, as of a first run), only the chunks of that many documents, the newest (sitting_date) first, ties by doc_id.
+    """
+    if most_documents is not None:
+        newest = chunks.select("doc_id", "sitting_date").groupBy("doc_id").agg(F.max("sitting_date").alias("d")).orderBy(F.desc_nulls_last("d"), "doc_id").limit(most_documents)
+        chunks = chunks.join(newest.select("doc_id"), "doc_id", "left_semi")
+    posted = postings(chunks, key).withColumn("bucket", _bucket(F.col("term"), buckets))
+    posted.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    sized = chunks.agg(F.count("*").alias("n"))
+    total = chunks.sparkSession.read.parquet(f"{path}/postings").agg(F.sum("tf").alias("tokens"))
+    sized.join(total).select("n", (F.coalesce("tokens", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg_len"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return load(chunks.sparkSession, path)
+
+
+def load(spark, path: str) -> Index:
+    """The index that build() wrote."""
+    row = spark.read.parquet(f"{path}/stats").first()
+    return Index(spark.read.parquet(f"{path}/postings"), Stats(row.n, float(row.avg_len)), row.buckets)

@@ -3,6 +3,8 @@ stays unresolved with its reason."""
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,12 @@ RESOLVED = ["label_constituency", "label_name", "label_name_seat_unmatched", "la
 _FOLDED = "core string, canonical string, first long"
 
 
+def _one_person(new: str, known: str) -> bool:
+    """names.similar_in_seat() of two core names that aren't empty."""
+    fewer, more = sorted((set(new.split()), set(known.split())), key=len)
+    return fewer <= more or SequenceMatcher(None, new, known).ratio() >= N.RATIO
+
+
 def _fold(rows) -> list[tuple[str, str, int]]:
     """(core, canonical core, order of first sight) from (order, core, seat, aliases) in order of sight.
 
@@ -26,7 +34,7 @@ def _fold(rows) -> list[tuple[str, str, int]]:
     for order, core, seat, others in rows:
         own = same.get(core, core)
         if own not in known and seat:
-            alike = [h for h in holders.get(seat, []) if N.alike(own, h, 1)]
+            alike = [h for h in holders.get(seat, []) if _one_person(own, h)]
             if len(alike) == 1:
                 same[own] = same[core] = alike[0]
                 own = alike[0]

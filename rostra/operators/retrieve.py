@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rostra.functions import text as T
 from rostra.operators import index
@@ -62,14 +63,17 @@ def top(df: DataFrame, by: str, score: str, key: str, k: int, rank: str = "rank"
     return own.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, qkey: str = "query_id", key: str = "chunk_id", allowed: DataFrame | None = None) -> DataFrame:
-    """(qkey, key, score, rank): queries (qkey, text) against chunks (key, text).
+def bm25(queries: DataFrame, chunks: DataFrame | index.Index, k: int, qkey: str = "query_id", key: str = "chunk_id", allowed: DataFrame | None = None) -> DataFrame:
+    """(qkey, key, score, rank): queries (qkey, text) against chunks (key, text) or a stored index of them, which spares both passes over their texts.
 
     The corpus statistics are those of all chunks; only ``allowed`` chunks (column key) are ranked. A query without tokens has no rows.
     """
     asked = queries.select(qkey, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    corpus = index.stats(chunks, key)
-    posted = index.postings(chunks, key, terms=if_small(asked.select("term").distinct()))
+    if isinstance(chunks, index.Index):
+        corpus, posted = chunks.stats, chunks.of(if_small(asked.select("term").distinct()))
+    else:
+        corpus = index.stats(chunks, key)
+        posted = index.postings(chunks, key, terms=if_small(asked.select("term").distinct()))
     known = posted.groupBy("term").agg(F.count("*").alias("df"))
     weighed = asked.join(known, "term").select(qkey, "term", index.idf(corpus.n, F.col("df")).alias("idf"))
     ranked = posted if allowed is None else posted.join(allowed.select(key).distinct(), key, "left_semi")
@@ -83,7 +87,9 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int, qkey: str = "query_id",
     Queries are broadcast as a matrix in blocks of QUERY_BLOCK; each Arrow batch of chunks keeps its own k best for each
     query, so what is shuffled is k rows a query and batch, not a row a pair.
     """
-    spark = chunks.sparkSession
+    spark, kinds = chunks.sparkSession, (queries.schema[qkey].dataType, chunks.schema[key].dataType)
+    result = f"{qkey} {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double"
+    arrow_kinds = tuple(map(to_arrow_type, kinds))
     out = None
     rows = queries.select(qkey, vector).where(F.col(vector).isNotNull()).orderBy(qkey)
     held: list = []
@@ -98,20 +104,21 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int, qkey: str = "query_id",
                 if not batch.num_rows:
                     continue
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
+                order = np.argsort(np.argsort(keys, kind="stable"), kind="stable")  # of any type, for ties
                 own = np.array(batch.column(1).to_pylist(), np.float64)
                 scores = np.round(q @ own.T, 6)
                 for i, name in enumerate(names):
-                    best = np.lexsort((keys, -scores[i]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), pa.int64()), pa.array(keys[best], pa.int64()), pa.array(scores[i][best])], names=[qkey, key, "score"])
+                    best = np.lexsort((order, -scores[i]))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), arrow_kinds[0]), batch.column(0).take(pa.array(best)), pa.array(scores[i][best])], names=[qkey, key, "score"])
 
-        return chunks.select(F.col(key).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"{qkey} long, {key} long, score double")
+        return chunks.select(key, vector).where(F.col(vector).isNotNull() & F.col(key).isNotNull()).mapInArrow(run, result)
 
     for row in rows.toLocalIterator():  # queries, not chunks: a stated set, block by block
         held.append(row)
         if len(held) == QUERY_BLOCK:
             out, held = (block(held) if out is None else out.union(block(held))), []
     if held or out is None:
-        part = block(held) if held else spark.createDataFrame([], f"{qkey} long, {key} long, score double")
+        part = block(held) if held else spark.createDataFrame([], result)
         out = part if out is None else out.union(part)
     return top(out, qkey, "score", key, k)
 

@@ -8,11 +8,14 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostra.functions import text as T
+from rostra.operators import index as stored
 from rostra.operators import report, retrieve, verify
+from rostra.operators.chunk import split_text
 from rostra.plans.providers import Failover, ProviderError, extractive
 from rostra.sources import files
 
@@ -30,9 +33,11 @@ class Engine:
     parties_table: DataFrame | None = None
     vectors: DataFrame | None = None
     log_path: str | None = None
+    index: stored.Index | None = None  # of the chunks (operators.index.build); without it each search tokenises them
 
     def search(self, questions: DataFrame, filters: retrieve.Filters | None = None, top_k: int = retrieve.TOP, mode: str = "sparse", rerank: bool = True, query_vectors: DataFrame | None = None, versions: DataFrame | None = None, least: float = retrieve.LEAST) -> tuple[DataFrame, DataFrame]:
-        """(hits, gate) for questions (query_id, text); versions (query_id, version, text) adds translations, each a keyword branch of its own."""
+        """(hits, gate) for questions (query_id, text); versions (query_id, version, text) adds translations (version 1), each a keyword branch of its own, and,
+        where query_vectors (query_id, embedding) has a version too, a vector branch."""
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
         asked = versions if versions is not None else questions.withColumn("version", F.lit(0))
@@ -40,12 +45,17 @@ class Engine:
         allowed = filters.apply(self.chunks) if filtered else None
         pool = max(top_k, retrieve.POOL) if rerank else top_k
         branches = []
-        if mode != "dense":
-            for v in range(2 if versions is not None else 1):
-                branches.append(retrieve.bm25(asked.where(F.col("version") == v), self.chunks, max(pool, retrieve.CANDIDATES), allowed=allowed))
+        vectors = None
         if mode != "sparse":
             vectors = self.vectors if allowed is None else self.vectors.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-            branches.append(retrieve.dense(query_vectors, vectors, max(pool, retrieve.CANDIDATES)))
+            if query_vectors is None:
+                raise ValueError(f"mode {mode} needs the questions' vectors")
+        for v in range(2 if versions is not None else 1):
+            if mode != "dense":
+                branches.append(retrieve.bm25(asked.where(F.col("version") == v), self.index or self.chunks, max(pool, retrieve.CANDIDATES), allowed=allowed))
+            if mode != "sparse" and (v == 0 or "version" in query_vectors.columns):
+                own = query_vectors.where(F.col("version") == v).drop("version") if "version" in query_vectors.columns else query_vectors
+                branches.append(retrieve.dense(own, vectors, max(pool, retrieve.CANDIDATES)))
         hits = retrieve.fuse(branches, pool)
         hits = retrieve.rerank(hits, asked.select("query_id", "text"), self.chunks, top_k) if rerank else hits
         return hits, retrieve.gate(questions, hits, reranked=rerank, least=least)
@@ -69,6 +79,7 @@ class Engine:
             yield "sources", []
             yield "not_found", {"best_relevance": verdict.best}
             yield "done", {"retrieve_ms": ms, "generate_ms": 0}
+            rows.unpersist()
             return
         yield "sources", [r.asDict() for r in verify.source_cards(rows, self.people, self.parties_table).orderBy("rank").collect()]  # top_k rows
         prompt = verify.prompts(rows, asked.select("query_id", F.col("text").alias("question"))).first().prompt
@@ -111,10 +122,10 @@ class Engine:
 
 
 def register(spark) -> None:
-    """Names for SQL callers: rostra_core_name, rostra_aliases, rostra_windows."""
-    from rostra.functions import names
-    from rostra.operators.chunk import split_text
+    """A name for SQL callers: rostra_windows(text), by Arrow batches. Names are Column expressions (functions.names) and need none."""
 
-    spark.udf.register("rostra_core_name", lambda t: None if t is None else names.core(t), "string")
-    spark.udf.register("rostra_aliases", lambda t: None if t is None else names.other_names(t), "array<string>")
-    spark.udf.register("rostra_windows", lambda t: None if t is None else split_text(t), "array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else split_text(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    spark.udf.register("rostra_windows", F.arrow_udf(run, "array<string>"))

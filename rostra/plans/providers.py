@@ -6,6 +6,8 @@ The stand-ins are deterministic and lexical; their scores are not those of a mod
 from __future__ import annotations
 
 import hashlib
+import logging
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 from rostra.functions import text as T
 
 
+log = logging.getLogger(__name__)
+
+
 class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> list[list[float]]: ...
 
@@ -25,8 +30,6 @@ def hashing_embedder(size: int = 64) -> Embedder:
     """Signed counts of hashed tokens, of unit length."""
 
     def embed(texts: list[str]) -> list[list[float]]:
-        import re
-
         out = np.zeros((len(texts), size))
         for row, text in zip(out, texts, strict=True):
             for token in re.findall("[a-z0-9]+", text.lower()):
@@ -57,9 +60,11 @@ def with_translations(queries: DataFrame, translate: Callable[[str], str | None]
         rows.append((r[0], 0, r.text))
         if r.lang != "ms":
             try:
-                made = (translate(r.text) or "").strip().strip('"“”').splitlines()
-            except OSError:
-                made = []
+                answer = translate(r.text) or ""
+            except Exception as error:  # a plug point: whatever fails there leaves the question as it is
+                log.warning("no translation of %r: %s", r.text, error)
+                answer = ""
+            made = re.sub(r"(?s)<think>.*?(</think>|$)", "", answer).strip().strip('"“”').splitlines()
             if made and made[0].strip() and made[0].strip().lower() != r.text.lower():
                 rows.append((r[0], 1, made[0].strip()))
     return queries.sparkSession.createDataFrame(rows, f"{qkey} {queries.schema[qkey].dataType.simpleString()}, version int, text string")

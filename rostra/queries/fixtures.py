@@ -185,10 +185,10 @@ def profile_value(spark, sf_dir):
     return fixture(spark, _PROFILE).select("n", html.profile_value(F.col("html")).alias("party"))
 
 
-_BOXES = """(VALUES (1, 10.0, 5.0, 10.0, 'dua', 0.9), (1, 11.0, 1.0, 8.0, 'satu', 0.8), (1, 30.0, 1.0, 10.0, 'tiga', 0.7), (1, 14.0, 9.0, 10.0, 'dekat', 0.95), (2, 5.0, 1.0, 4.0, 'lain', 0.4)) AS b(page, y, x, h, text, score)"""
+_BOXES = """(VALUES (1, 10.0, 5.0, 10.0, 'dua', 0.9), (1, 11.0, 1.0, 8.0, 'satu', 0.8), (1, 30.0, 1.0, 10.0, 'tiga', 0.7), (1, 14.0, 9.0, 10.0, 'dekat', 0.95), (3, 10.0, 1.0, 10.0, 'atas', 0.9), (3, 15.0, 1.0, 10.0, 'tepi', 0.9), (2, 5.0, 1.0, 4.0, 'lain', 0.4)) AS b(page, y, x, h, text, score)"""
 
 
-@query("SELECT page, row, text, score::DOUBLE AS score, h::DOUBLE AS h FROM (VALUES (1, 1, 'satu dua dekat', 0.8, 10.0), (1, 2, 'tiga', 0.7, 10.0), (2, 1, 'lain', 0.4, 4.0)) AS r(page, row, text, score, h)")
+@query("SELECT page, row, text, score::DOUBLE AS score, h::DOUBLE AS h FROM (VALUES (1, 1, 'satu dua', 0.8, 10.0), (1, 2, 'dekat', 0.95, 10.0), (1, 3, 'tiga', 0.7, 10.0), (2, 1, 'lain', 0.4, 4.0), (3, 1, 'atas', 0.9, 10.0), (3, 2, 'tepi', 0.9, 10.0)) AS r(page, row, text, score, h)")
 def ocr_rows(spark, sf_dir):
     boxes = fixture(spark, _BOXES).selectExpr("page", "double(y) AS y", "double(x) AS x", "double(h) AS h", "text", "double(score) AS score")
     return ocr.rows_of_boxes(boxes, ["page"]).select("page", "row", "text", "score", "h")

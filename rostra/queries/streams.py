@@ -17,7 +17,7 @@ def _events(spark, sf_dir):
 
 @query()
 def rate_limit(spark, sf_dir):
-    decided = limits.daily_capped(limits.limited(_events(spark, sf_dir), most=2, window=3600), cap=200)
+    decided = limits.admitted(_events(spark, sf_dir), most=2, window=3600, cap=200)
     return decided.select("event_id", "user_id", "accepted", "reason")
 
 

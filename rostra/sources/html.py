@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from html import unescape
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from rostra.functions import text as T
 from rostra.operators.catalog import parse_filename
 
-_MEMBER = ("name", "seat_code", "constituency", "photo_url", "profile_url")
 #: CSS classes of a member list's fields.
 _CLASSES = {"first-name": "name", "constituency": "seat_code", "province": "constituency"}
 
@@ -49,29 +48,6 @@ def page_links(page: str) -> list[dict[str, str]]:
     return out
 
 
-def page_members(page: str, base: str) -> list[dict[str, str]]:
-    """Members whose list items hold all five fields."""
-    out, own, field = [], {}, None
-    for kind, value, attrs in _Events(page).events:
-        if kind == "start":
-            classes = attrs.get("class", "").split()
-            if value == "li":
-                own = {}
-            elif value == "a" and "profile-ahli" in attrs.get("href", ""):
-                own["profile_url"] = urljoin(f"{base}/", attrs["href"])
-            elif value == "img" and "picture" in classes:
-                own["photo_url"] = urljoin(f"{base}/", attrs.get("src", ""))
-            field = next((_CLASSES[c] for c in classes if c in _CLASSES), field)
-        elif kind == "text" and field and value.strip():
-            own[field] = f"{own.get(field, '')} {value.strip()}".strip()
-        elif kind == "end":
-            field = None if value in ("span", "div") else field
-            if value == "li" and set(_MEMBER) <= set(own):
-                out.append({k: own[k] for k in _MEMBER})
-                own = {}
-    return out
-
-
 def page_value(page: str, label: str) -> str | None:
     """The first cell with text after the cell that reads ``label``."""
     inside = found = False
@@ -105,8 +81,33 @@ def links_by_pattern(pages: DataFrame, key: str, html: str = "html") -> DataFram
     return pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit('<a [^>]*?href="([^"]*)"'), F.lit(1))).alias("position", "href"))
 
 
+def _plain(html: Column) -> Column:
+    """The text of a piece of HTML: no tags, entities resolved, single blanks."""
+    bare = F.regexp_replace(html, "<[^>]*>", " ")
+    return T.collapse(F.coalesce(T.arrow(unescape, "string")(F.when(F.contains(bare, F.lit("&")), bare)), bare))
+
+
+def _absolute(base: str, link: Column) -> Column:
+    """A link against the page's base: as it is, from the host's root, or below the base."""
+    root = "/".join(base.split("/")[:3])
+    whole = F.coalesce(T.arrow(unescape, "string")(F.when(F.contains(link, F.lit("&")), link)), link)
+    return F.when(whole.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), whole).when(F.startswith(whole, F.lit("/")), F.concat(F.lit(root), whole)).otherwise(F.concat(F.lit(f"{base}/"), whole))
+
+
 def members(pages: DataFrame, base: str, html: str = "html") -> DataFrame:
-    return pages.select(F.explode(_rows(lambda p: page_members(p, base), _MEMBER)(html)).alias("m")).select("m.*")
+    """Members, one for each list item that has all five fields, in the JVM: items are split, then each field is extracted by its own pattern."""
+    item = pages.select(F.explode(F.slice(F.split(html, r"(?i)<li\b"), 2, 1 << 30)).alias("rest")).select(F.regexp_extract("rest", r"(?is)^(.*?)(</li\s*>|$)", 1).alias("item"))
+
+    def tag(name: str, holds: str, attribute: str) -> Column:
+        """An attribute of the last tag of that name which holds a pattern; empty if there is none."""
+        tags = F.filter(F.regexp_extract_all("item", F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0)), lambda t: t.rlike(holds))
+        return F.regexp_extract(F.coalesce(F.get(tags, F.size(tags) - 1), F.lit("")), rf"(?is)\b{attribute}\s*=\s*[\"']([^\"']*)", 1)
+
+    fields = {field: _plain(F.regexp_extract("item", rf"(?is)<(span|div)\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{css}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1\s*>", 2)) for css, field in _CLASSES.items()}
+    photo, profile = tag("img", r"(?is)\bclass\s*=\s*[\"'](?:[^\"']*\s)?picture[\s\"']", "src"), tag("a", r"(?is)\bhref\s*=\s*[\"'][^\"']*profile-ahli", "href")
+    own = item.select(*[c.alias(f) for f, c in fields.items()], photo.alias("photo"), profile.alias("profile"))
+    whole = own.where((F.least("name", "seat_code", "constituency", "photo", "profile") != ""))
+    return whole.select("name", "seat_code", "constituency", _absolute(base, F.col("photo")).alias("photo_url"), _absolute(base, F.col("profile")).alias("profile_url"))
 
 
 def profile_value(html: Column, label: str = "Parti") -> Column:

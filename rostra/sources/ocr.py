@@ -19,7 +19,7 @@ def best_reading(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rows_of_boxes(boxes: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., row, text, score, x, y, h): boxes whose centre lies within half the height of a row's first box make one row, joined from left to right.
+    """(by..., row, text, score, x, y, h): boxes whose centre is less than half the height of a row's first box away from its centre make one row, joined from left to right.
 
     The comparison is with the row's first box, so rows are a fold over a page's boxes in order of their centres.
     """
@@ -28,7 +28,7 @@ def rows_of_boxes(boxes: DataFrame, by: list[str]) -> DataFrame:
     start = F.struct(F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("h"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows"))
 
     def step(acc: Column, b: Column) -> Column:
-        same = F.coalesce(F.abs(b["c"] - acc["c"]) <= acc["h"] / 2, F.lit(False))
+        same = F.coalesce(F.abs(b["c"] - acc["c"]) < acc["h"] / 2, F.lit(False))
         row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
         return F.struct(F.when(same, acc["c"]).otherwise(b["c"]).alias("c"), F.when(same, acc["h"]).otherwise(b["h"]).alias("h"), row.alias("row"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 

@@ -21,41 +21,85 @@ class Limiter:
     def __init__(self, most: int, window: float, times=()):
         self.most, self.window, self.times = most, window, deque(times)
 
-    def accepts(self, t: float) -> bool:
+    def full(self, t: float) -> bool:
         while self.times and t - self.times[0] > self.window:
             self.times.popleft()
-        if len(self.times) >= self.most:
+        return len(self.times) >= self.most
+
+    def accepts(self, t: float) -> bool:
+        if self.full(t):
             return False
         self.times.append(t)
         return True
 
 
-def limited(events: DataFrame, most: int = PER_MINUTE, window: float = WINDOW_S) -> DataFrame:
-    """events (event_id, user_id, ts) with accepted and reason, by user in order of time.
+def _folded(events: DataFrame, most: int, window: float, closed: dict) -> DataFrame:
+    """Events decided by user, in order of time; those after a day's last place (closed: day to (microseconds, event_id)) don't enter the windows.
 
     A partition's rows come sorted by user and time and are folded as they stream by; what is held is one user's accepted times, at most ``most``.
     """
-    own = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("__s", F.unix_micros("ts") / 1e6)
+    own = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("__t", F.unix_micros("ts")).withColumn("__day", F.to_date("ts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         user, limiter = None, None
         for batch in batches:
-            flags = []
-            for who, t in zip(batch.column("user_id").to_pylist(), batch.column("__s").to_pylist(), strict=True):
+            reasons = []
+            for event, who, t, day in zip(*(batch.column(c).to_pylist() for c in ("event_id", "user_id", "__t", "__day")), strict=True):
                 if limiter is None or who != user:
                     user, limiter = who, Limiter(most, window)
-                flags.append(limiter.accepts(t))
-            reasons = [None if f else "per_minute" for f in flags]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("event_id", "user_id", "ts")), pa.array(flags, pa.bool_()), pa.array(reasons, pa.string())], names=["event_id", "user_id", "ts", "accepted", "reason"])
+                if limiter.full(t / 1e6):
+                    reasons.append("per_minute")
+                elif day in closed and (t, event) > closed[day]:
+                    reasons.append("daily_cap")
+                else:
+                    limiter.times.append(t / 1e6)
+                    reasons.append(None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("event_id", "user_id", "ts")), pa.array([r is None for r in reasons], pa.bool_()), pa.array(reasons, pa.string())], names=["event_id", "user_id", "ts", "accepted", "reason"])
 
     return own.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInArrow(run, DECISION)
 
 
+def limited(events: DataFrame, most: int = PER_MINUTE, window: float = WINDOW_S) -> DataFrame:
+    """events (event_id, user_id, ts) with accepted and reason by the users' windows alone, in order of time."""
+    return _folded(events, most, window, {})
+
+
+def _last_places(accepted: DataFrame, cap: int) -> dict:
+    """Of each UTC day with ``cap`` events or more, the (microseconds, event_id) of the one that uses the cap up.
+
+    Counts by minute tell the minute it is in; only that minute's events are put in order. One row a day reaches the driver.
+    """
+    own = accepted.select("event_id", F.unix_micros("ts").alias("t"), F.to_date("ts").alias("day")).withColumn("minute", F.floor(F.col("t") / 60_000_000))
+    counts = own.groupBy("day", "minute").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0))
+    hit = counts.withColumn("before", upto - F.col("n")).where((F.col("before") < cap) & (F.col("before") + F.col("n") >= cap)).select("day", "minute", "before")
+    place = F.row_number().over(Window.partitionBy("day").orderBy("t", "event_id")) + F.col("before")
+    return {r.day: (r.t, r.event_id) for r in own.join(F.broadcast(hit), ["day", "minute"]).withColumn("k", place).where(F.col("k") == cap).select("day", "t", "event_id").collect()}
+
+
+def admitted(events: DataFrame, most: int = PER_MINUTE, window: float = WINDOW_S, cap: int = PER_DAY) -> DataFrame:
+    """events (event_id, user_id, ts) with accepted and reason under both rules: an event counts for either only if both let it in.
+
+    Until a day's cap is used up the daily rule refuses nothing, so users are folded apart, given where each day closes; where days close follows
+    from the folds. A window reaches over midnight, hence a day depends on the one before: the two steps alternate until no day's close moves, which a day
+    takes at most one round more than its predecessor for, and in practice two or three rounds do.
+    """
+    closed: dict = {}
+    while True:
+        decided = _folded(events, most, window, closed)
+        found = _last_places(decided.where("accepted"), cap)
+        if found == closed:
+            return decided
+        closed = found
+
+
 def daily_capped(decided: DataFrame, cap: int = PER_DAY) -> DataFrame:
     """decided with events over the daily cap rejected: only those the first rule accepted count, by UTC day in order of time."""
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum(F.col("accepted").cast("int")).over(w)
-    own = decided.withColumn("__over", F.col("accepted") & (n > cap))
+    closed = _last_places(decided.where("accepted"), cap)
+    over = F.lit(False)
+    for day, (t, event) in closed.items():  # one term a day with more events than its cap
+        over |= (F.to_date("ts") == F.lit(day)) & ((F.unix_micros("ts") > t) | ((F.unix_micros("ts") == t) & (F.col("event_id") > event)))
+    own = decided.withColumn("__over", F.col("accepted") & over)
     return own.withColumns({"reason": F.when(F.col("__over"), "daily_cap").otherwise(F.col("reason")), "accepted": F.col("accepted") & ~F.col("__over")}).drop("__over")
 
 

@@ -25,16 +25,31 @@ def test_runs_and_offsets(spark):
     assert sorted((r.run_start, r.run_end) for r in segment.bold_runs(flat).collect()) == [(0, 2), (5, 10)]
 
 
-def test_markers():
+def found(spark, text, *runs):
+    out = segment.markers(spark.createDataFrame([("D", text)], "doc_id string, text string"), spark.createDataFrame([("D", a, b) for a, b in runs], "doc_id string, run_start int, run_end int"))
+    return sorted(tuple(r)[1:] for r in out.collect())
+
+
+def test_markers(spark):
     text = "USUL\nTuan A [Kota]: ya\nplain Tuan B: no"
-    assert segment.run_markers(text, 0, 4) == [(0, 4, "heading", "USUL", None)]
-    assert segment.run_markers(text, 5, 19) == [(5, 19, "label", "Tuan A [Kota]", None)]
-    assert segment.run_markers(text, 29, 36) == []  # not at the beginning of a line
+    assert found(spark, text, (0, 4), (5, 19), (29, 36)) == [(0, 4, "heading", "USUL", None), (5, 19, "label", "Tuan A [Kota]", None)]
+    # Several lines: headings above a label that goes over two lines, the colon after the run.
+    text = "USUL\nBacaan Kali\nMenteri X [Tuan Y\nbin Z] : kata"
+    assert found(spark, text, (0, 41)) == [(0, 4, "heading", "USUL", None), (5, 16, "subheading", "Bacaan Kali", None), (17, 43, "label", "Menteri X [Tuan Y bin Z]", None)]
+    # A written question: its number in the run, or just before it.
+    text = "1. Tuan A [Kota] minta jawapan\n12.\nPuan B [Desa] bertanya"
+    assert found(spark, text, (3, 16), (31, 48)) == [(35, 48, "question", "Puan B [Desa]", 12)]
+    assert found(spark, "12.\nPuan B [Desa] bertanya", (4, 17)) == [(4, 17, "question", "Puan B [Desa]", 12)]
+    # Inside a line a run counts from its next line; brackets must balance; a heading must end its line.
+    assert found(spark, "so USUL\nTuan A: x", (3, 14)) == [(8, 15, "label", "Tuan A", None)]
+    assert found(spark, "Tuan A [Kota: x", (0, 13)) == [] and found(spark, "USUL ialah", (0, 4)) == []
+    assert found(spark, "Tuan " + "A" * 300 + ":", (0, 306)) == [] and found(spark, " \n ", (0, 3)) == []
 
 
-def test_html_forms():
+def test_html_forms(spark):
     page = '<ul><li><a href="/profile-ahli?id=1"><img class="x picture" src="/p.jpg"><span class="first-name">Dato A</span></a><div class="constituency">P001</div><div class="province">Kota <b>Satu</b></div></li><li><span class="first-name">tiada</span></li></ul>'
-    assert html.page_members(page, "https://x.example") == [{"name": "Dato A", "seat_code": "P001", "constituency": "Kota Satu", "photo_url": "https://x.example/p.jpg", "profile_url": "https://x.example/profile-ahli?id=1"}]
+    rows = html.members(spark.createDataFrame([(page,)], "html string"), "https://x.example").collect()
+    assert [r.asDict() for r in rows] == [{"name": "Dato A", "seat_code": "P001", "constituency": "Kota Satu", "photo_url": "https://x.example/p.jpg", "profile_url": "https://x.example/profile-ahli?id=1"}]
     assert html.page_links('<a href="/a?x=1&amp;y=2">satu <b>dua</b></a><a>tiada</a>') == [{"href": "/a?x=1&y=2", "text": "satu dua"}]
     assert html.page_value("<td>Parti</td><td> A  B </td>", "Parti") == "A B" and html.page_value("<td>x</td>", "Parti") is None
 

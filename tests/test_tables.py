@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from rostra import schemas
-from rostra.operators import catalog, report, resolve, retrieve
+from rostra.operators import catalog, index, report, resolve, retrieve
 from rostra.plans import providers
 from rostra.plans.engine import Engine, register
 from rostra.sources import files
@@ -72,6 +73,72 @@ def test_rate_limits(spark):
     assert capped[7] == (False, "daily_cap") and capped[5] == (True, None) and capped[2] == (False, "per_minute")
 
 
+def both_rules(rows, most, window, cap):
+    """One by one, in order of time."""
+    users, days, out = {}, {}, {}
+    for t, event, user in sorted((t, e, u) for e, u, t in rows):
+        own = [x for x in users.get(user, []) if t - x <= window]
+        day = t // 86_400
+        out[event] = "per_minute" if len(own) >= most else "daily_cap" if days.get(day, 0) >= cap else None
+        if out[event] is None:
+            users[user] = [*own, t]
+            days[day] = days.get(day, 0) + 1
+    return out
+
+
+def test_both_limits_across_midnight(spark):
+    """A user with refused events only before midnight isn't refused after it; windows and days depend on each other."""
+    rng = random.Random(4)
+    base = 1_704_067_200  # a midnight
+    rows = [(k, 1, base + 86_340 + k) for k in range(5)] + [(10 + k, 2, base + 86_380 + k) for k in range(6)] + [(20, 2, base + 86_402)]
+    rows += [(100 + k, rng.randrange(6), base + rng.choice([0, 86_400, 172_800]) - 40 + rng.randrange(80)) for k in range(150)]
+    for most, window, cap in ((3, 60, 5), (2, 30, 8), (10, 60, 500)):
+        events = spark.createDataFrame(rows, "event_id long, user_id long, s long").selectExpr("event_id", "user_id", "timestamp_seconds(s) AS ts")
+        got = {r.event_id: (r.accepted, r.reason) for r in limits.admitted(events, most, window, cap).collect()}
+        want = both_rules(rows, most, window, cap)
+        assert got == {e: (r is None, r) for e, r in want.items()}
+    assert both_rules(rows, 3, 60, 5)[20] is None
+
+
+def test_rate_limit_query(spark, sf):
+    from rostra.queries import QUERIES
+
+    rows = [(r.event_id, r.user_id, r.t / 1e6) for r in spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id", "user_id", "unix_micros(cast(ts AS timestamp)) AS t").collect()]
+    assert {r.event_id: r.reason for r in QUERIES["rate_limit"](spark, sf).collect()} == both_rules(rows, 2, 3600, 200)
+
+
+def test_stored_index_and_hybrid_search(spark, tmp_path):
+    """String keys, a stored index, vectors and translations, through the engine."""
+    words = ["cukai tanah", "jalan raya", "harga minyak", "cukai pintu", "air bersih"]
+    chunks = spark.createDataFrame([(f"D{k % 3}:000{k}#0", f"D{k % 3}", f"2024-01-0{k % 3 + 1}", 20240101 + k % 3, f"{w} tahun {k}", "s1", "motion") for k, w in enumerate(words * 3)], "chunk_id string, doc_id string, sitting_date string, sitting_day int, text string, speaker_id string, section string")
+    vectors = providers.embed(chunks.select("chunk_id", "text"), providers.hashing_embedder).drop("text")
+    questions = spark.createDataFrame([("q1", "cukai tanah"), ("q2", "harga minyak"), ("q3", "zzz")], "query_id string, text string")
+    versions = questions.selectExpr("query_id", "0 AS version", "text").union(spark.createDataFrame([("q3", 1, "air bersih")], "query_id string, version int, text string"))
+    asked = providers.embed(versions, providers.hashing_embedder).drop("text")
+    built = index.build(chunks, str(tmp_path / "index"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "rank", "score").collect()))
+    plain, stored = Engine(chunks, vectors=vectors), Engine(chunks, vectors=vectors, index=built)
+    for mode in ("sparse", "dense", "hybrid"):
+        one, two = (e.search(questions, top_k=4, mode=mode, query_vectors=asked, versions=versions)[0] for e in (plain, stored))
+        assert rows(one) == rows(two) and len(rows(one)) > 0 and isinstance(rows(one)[0][1], str)
+    hits, gate = plain.search(questions, top_k=4, mode="dense", query_vectors=asked, versions=versions, rerank=False)
+    assert any(r.query_id == "q3" and r.score > 0 for r in hits.collect())  # the translation's vectors are searched too
+    few = index.build(chunks, str(tmp_path / "few"), most_documents=1)
+    assert few.stats.n == 5 and index.load(spark, str(tmp_path / "few")).stats == few.stats
+    with pytest.raises(ValueError, match="vectors"):
+        plain.search(questions, mode="dense")
+
+
+def test_translations_that_fail(spark):
+    def translate(text):
+        if "rosak" in text or "what" in text:
+            raise RuntimeError("down")
+        return "<think>hm</think>\n“apa khabar”"
+
+    asked = spark.createDataFrame([(1, "what is this"), (2, "how are you")], "query_id long, text string")
+    assert [(r.query_id, r.version, r.text) for r in providers.with_translations(asked, translate).collect()] == [(1, 0, "what is this"), (2, 0, "how are you"), (2, 1, "apa khabar")]
+
+
 def test_streams(spark, tmp_path):
     schema = "doc_id string, version int, sha256 string"
     source, sink, log = (str(tmp_path / x) for x in ("in", "out", "check"))
@@ -155,8 +222,8 @@ def test_versions_and_failover(spark, tmp_path):
 
 def test_sql_functions(spark):
     register(spark)
-    row = spark.sql("SELECT rostra_core_name('Dato Ali bin Abu') AS c, rostra_aliases('Ali @ Bakar') AS a, size(rostra_windows(repeat('abc def. ', 400))) AS n").first()
-    assert (row.c, row.a) == ("ali abu", ["bakar"]) and row.n > 2
+    row = spark.sql("SELECT rostra_windows(repeat('abc def. ', 400)) AS w, rostra_windows(null) AS n").first()
+    assert len(row.w) == 2 and row.n is None
 
 
 def test_registry_suffixes(spark):
