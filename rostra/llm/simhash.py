@@ -11,6 +11,9 @@ distance to the parent; a search follows only the edges within the radius. A sha
 bits, twice at most: 52 bits or more are then shared, so it holds at most 4,096 distinct fingerprints and no input can
 make a tree outgrow a task. The trees travel by key instead of being broadcast, since all trees together grow with the corpus.
 
+near_groups() links fingerprints and nothing else. keep_one() drops near copies: at a similarity of 0.8 fingerprints lie up to some 16 bits apart, too far for
+pigeonhole shards, so it shards by min-hashes instead, searches the same trees with that radius and verifies by shingles.
+
 Links become components by alternating large-star and small-star steps on tables in the shared folder.
 Null and empty texts: fingerprint zero. Repeated rows and equal texts get equal results. A null doc_id is never the
 smallest of its component unless all are null. An empty table gives an empty result.
@@ -27,13 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostra.llm.staging import bound_batches, stage
+from rostra.llm.staging import bound_batches, drop, settle, stage
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Largest shard that is searched without splitting it further.
 SHARD = 2048
 _ALL = (1 << 64) - 1
 _CHUNK = 1 << 16
+#: Near copies: words of a shingle, least similarity, bits within which they are searched, min-hashes, hashes kept, distinct texts searched together.
+NEAR_WORDS, SIMILAR, NEAR_BITS, KEYS, SKETCH, NEAR_SHARD = 5, 0.8, 16, 3, 1024, 512
+_FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
 def fingerprint(text: bytes) -> int:
@@ -219,18 +225,146 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
+def sketch(text: bytes) -> tuple[list[int], bytes]:
+    """Min-hashes of the text's distinct NEAR_WORDS-word shingles, and the SKETCH smallest of their 32-bit hashes (all, where there are fewer)."""
+    words = text.lower().split()
+    if not words:
+        return [0] * KEYS, b""
+    joined, at = b" ".join(words), [0]
+    for word in words:
+        at.append(at[-1] + len(word) + 1)
+    last = max(len(words) - NEAR_WORDS + 1, 1)
+    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[at[k] : at[min(k + NEAR_WORDS, len(words))] - 1], SEED) for k in range(last)), np.uint64, last))
+    keys = []
+    for factor in _FACTORS:
+        mixed = hashes * factor
+        mixed = (mixed ^ mixed >> np.uint64(31)) * _FACTORS[0]
+        keys.append(int(mixed.min().view(np.int64)))
+    return keys, np.unique((hashes >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sketches: of the whole sets where both are whole, else by the smallest hashes of the union."""
+    both = np.intersect1d(a, b, assume_unique=True)
+    union = len(a) + len(b) - len(both)
+    if max(len(a), len(b)) < SKETCH:
+        return len(both) / union if union else 1.0
+    low = np.union1d(a, b)[:SKETCH]
+    return int(np.searchsorted(both, low[-1], side="right")) / len(low)
+
+
+def _sketched(rows: DataFrame) -> DataFrame:
+    """rows with fp, keys and sketch of each whole text, in one pass."""
+    bound_batches(rows.sparkSession)
+
+    def run(texts: pa.Array) -> pa.Array:
+        plain = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+        made = [sketch(t) for t in plain]
+        fps = pa.array(np.array([fingerprint(t) for t in plain], np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays([fps, pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([b for _, b in made], pa.binary())], names=["fp", "keys", "sketch"])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return rows.withColumn("made", F.arrow_udf(run, "struct<fp: bigint, keys: array<bigint>, sketch: binary>")(F.col("text"))).select("uid", "doc_id", "made.*")
+
+
+def similar_links(members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """From one shard's (uid, fingerprint, sketch): links (uid, first uid of its group) that connect all similar pairs its BK-tree finds."""
+    up, tree, of = list(range(len(members))), None, {}
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for k, (_, value, own) in enumerate(members):
+        if tree is None:
+            tree = BKTree(value)
+        for place in tree.near(value, NEAR_BITS):
+            for other in of.get(tree.values[place], ()):
+                a, b = top(other), top(k)
+                if a != b and similarity(members[other][2], own) >= SIMILAR:
+                    up[max(a, b)] = min(a, b)
+        tree.add(value)
+        of.setdefault(value, []).append(k)
+    return [(members[k][0], members[top(k)][0]) for k in range(len(members)) if top(k) != k]
+
+
+def _similar_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (base, shard, uid, fp, sketch) in order of shard, the links (base, u, v) within each shard."""
+    held, now, out = [], None, []
+
+    def close() -> None:
+        if len(held) > 1:
+            out.extend((now[0], u, v) for u, v in similar_links(held))
+        held.clear()
+
+    def taken() -> pa.RecordBatch:
+        rows = pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())
+        out.clear()
+        return pa.RecordBatch.from_arrays(list(rows), names=["base", "u", "v"])
+
+    for batch in batches:
+        for base, shard, uid, fp, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (base, shard) != now:
+                close()
+                now = (base, shard)
+            held.append((uid, fp & _ALL, np.frombuffer(data, "<u4")))
+        yield taken()
+    close()
+    yield taken()
+
+
+def _shards(classes: DataFrame) -> DataFrame:
+    """(base, uid, size): the min-hash shards of two texts or more; one over NEAR_SHARD is split by each other min-hash too."""
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("base").agg(F.count("*").alias("size")).where("size > 1"), "base")
+
+    ways = classes.select("uid", "keys", F.posexplode("keys").alias("way", "key"))
+    first = sized(ways.select("uid", "keys", "way", F.xxhash64("way", "key").alias("base")))
+    hot = first.where(F.col("size") > NEAR_SHARD).select("uid", "way", "base", F.posexplode("keys").alias("other", "key")).where("way <> other")
+    narrower = sized(hot.select("uid", F.xxhash64("base", "other", "key").alias("base")))
+    return first.where(F.col("size") <= NEAR_SHARD).select("base", "uid", "size").union(narrower.select("base", "uid", "size"))
+
+
+def near_links(classes: DataFrame) -> DataFrame:
+    """(u, v): verified links among distinct texts (uid, fp, keys, sketch).
+
+    A shard still over NEAR_SHARD after its split is dealt into chunks; texts that linked to a smaller one leave, and those that stay meet
+    again in new chunks, until a shard is one chunk (all its pairs are then searched) or a round links nothing.
+    """
+    places, found, turn = stage(_shards(classes), "shards"), None, 0
+    while True:
+        chunk = F.pmod(F.xxhash64(F.lit(turn), "uid"), F.ceil(F.col("size") / NEAR_SHARD))
+        rows = places.select("base", "uid", chunk.alias("shard")).join(classes.select("uid", "fp", "sketch"), "uid").select("base", "shard", "uid", "fp", "sketch")
+        new = stage(rows.repartition("base", "shard").sortWithinPartitions("base", "shard", "uid").mapInArrow(_similar_edges, "base long, u long, v long"), "near")
+        found = new.select("u", "v") if found is None else found.union(new.select("u", "v"))
+        crowded = places.where(F.col("size") > NEAR_SHARD).select("base", "uid")
+        rest = crowded.join(new.select("base", F.col("u").alias("uid")), ["base", "uid"], "left_anti")
+        left = stage(rest.join(rest.groupBy("base").agg(F.count("*").alias("size")).where("size > 1"), "base").select("base", "uid", "size"), "shards")
+        if left.isEmpty() or left.count() == crowded.count():
+            return found.distinct()
+        places, turn = left, turn + 1
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each component: that of its smallest doc_id.
+    """docs, all columns, with one row of each group of near copies: that of its smallest doc_id (null last), one of equal ids.
 
-    Where that id stands on several rows, the row with the smallest fingerprint stays, and one of equal rows.
+    Two texts are near copies if the Jaccard similarity of their distinct NEAR_WORDS-word shingles is SIMILAR or more. They are searched by
+    min-hash shards: two such texts share one of the KEYS min-hashes in 99.2 of 100 cases or more. Each shard is a BK-tree of op9's fingerprints searched within
+    NEAR_BITS, and what it finds is verified by shingles: all of them below SKETCH, the SKETCH smallest hashes (a standard error of 0.0125) beyond.
+    Null and empty texts are copies of each other. Columns may have any names but ``__near_uid``.
     """
-    groups = near_groups(docs)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("kept")).select("kept.doc_id", "kept.fp")
-    counts = groups.groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    ids = stage(
-        first.groupBy("doc_id").agg(F.collect_set("fp").alias("__fps")).alias("k").join(counts.alias("c"), F.expr("k.doc_id <=> c.doc_id")).select(F.col("k.doc_id").alias("__id"), "__fps", "__rows"),
-        "kept",
-    )
-    joined = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
-    repeated = fingerprints(joined.where("__rows > 1"), "__fp").where(F.array_contains("__fps", F.col("__fp"))).dropDuplicates(["__id", "__fp"])
-    return joined.where("__rows = 1").select(docs.columns).unionByName(repeated.select(docs.columns))
+    numbered = stage(docs.withColumn("__near_uid", F.monotonically_increasing_id()), "numbered")
+    rows = stage(_sketched(numbered.select(F.col("__near_uid").alias("uid"), "doc_id", "text")), "sketches")
+    named = rows.select("uid", "doc_id", F.xxhash64("sketch").alias("h1"), F.xxhash64(F.lit(1), "sketch").alias("h2"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("least")
+    texts = stage(named.groupBy("h1", "h2").agg(F.min("uid").alias("uid"), least), "texts")
+    distinct = stage(rows.select("uid", "fp", "keys", "sketch").join(texts.select("uid"), "uid", "left_semi"), "distinct")
+    drop(rows)
+    settle(docs.sparkSession)
+    roots = components(near_links(distinct))
+    groups = texts.join(roots, texts["uid"] == roots["node"], "left").groupBy(F.coalesce("root", "uid").alias("root"))
+    kept = stage(groups.agg(F.min("least").alias("least")).select(F.col("least.uid").alias("__near_uid")), "kept")
+    return numbered.join(kept, "__near_uid", "left_semi").select(docs.columns)

@@ -1,6 +1,8 @@
 import random
+import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -31,6 +33,31 @@ def groups(values, radius=2):
     return [top(k) for k in range(len(values))]
 
 
+def shingles(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split("[ \t-\r]+", low) if w]
+    return {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1)))}
+
+
+def near_groups(found, least=0.8):
+    """The first place of each place's group: places linked where the share of common shingles is high enough."""
+    sets, up, holders = [shingles(t) for t in found], list(range(len(found))), defaultdict(list)
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for k, own in enumerate(sets):
+        for j in {j for s in own for j in holders[s]} if own else holders[None]:
+            if not own or len(own & sets[j]) >= least * len(own | sets[j]):
+                a, b = top(j), top(k)
+                up[max(a, b)] = min(a, b)
+        for s in own or [None]:
+            holders[s].append(k)
+    return [top(k) for k in range(len(found))]
+
+
 def test_fingerprint():
     for _, text in texts():
         assert S.fingerprint((text or "").encode()) == brute(text)
@@ -75,7 +102,45 @@ def test_groups_and_keep_one(spark):
     expected = sorted(((i, least[t]) for (i, _), t in zip(rows, want, strict=True)), key=str)
     got = S.near_groups(docs(spark))
     assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=str) == expected
+    assert S.near_groups(docs(spark, [])).count() == 0 and S.keep_one(docs(spark, [])).count() == 0
+
+
+def _kept(rows):
+    least = {}
+    for (i, _), t in zip(rows, near_groups([t for _, t in rows]), strict=True):
+        least[t] = min([x for x in (least.get(t), i) if x is not None], default=None)
+    return sorted(least.values(), key=str)
+
+
+def test_keep_one(spark):
     kept = S.keep_one(docs(spark))
     assert kept.columns == docs(spark).columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(least.values(), key=str)
-    assert S.near_groups(docs(spark, [])).count() == 0 and S.keep_one(docs(spark, [])).count() == 0
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == _kept(texts())
+
+
+def test_sketches():
+    long, other = (" ".join(f"w{k * 7 % n}" for k in range(n)) for n in (9000, 9001))
+    for a, b in [("", " "), ("one", "ONE"), ("a b c d e f", "a b c d e g"), (long, other), (long, long + " x y z")]:
+        want = len(shingles(a) & shingles(b)) / (len(shingles(a) | shingles(b)) or 1) if a.strip() else 1.0
+        got = S.similarity(*(np.frombuffer(S.sketch(t.encode())[1], "<u4") for t in (a, b)))
+        assert abs(got - want) < (0.05 if len(a) > 1000 else 1e-9)
+
+
+def _edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_in_hot_shards(spark, monkeypatch):
+    """A group of near copies and texts around one passage, both far larger than a shard, and texts of over 1,024 shingles."""
+    monkeypatch.setattr(S, "NEAR_SHARD", 8)
+    rng = random.Random(7)
+    own = [f"x{rng.randrange(5000)}" for _ in range(200)]
+    wide = [f"y{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = [(k, _edited(rng, own, 2)) for k in range(120)]
+    rows += [(200 + k, f"{' '.join(own[:60])} {' '.join(str(rng.randrange(10**6)) for _ in range(60))}") for k in range(80)]
+    rows += [(400 + k, _edited(rng, wide, 5)) for k in range(6)] + [(500, _edited(rng, wide, 600)), (None, "z")]
+    got = S.keep_one(docs(spark, rows)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == _kept(rows)
