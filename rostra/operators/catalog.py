@@ -115,3 +115,24 @@ def cover(pages: DataFrame, least: int = 200) -> DataFrame:
 
 def title_case(records: DataFrame, column: str) -> DataFrame:
     return records.withColumn(column, T.heading_case(F.col(column)))
+
+
+def download_counts(results: DataFrame) -> DataFrame:
+    """(status, n) of download attempts."""
+    return results.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def broken(records: DataFrame, least: float = 0.9) -> DataFrame:
+    """Records whose file has too few pages with text; those not measured aren't judged."""
+    return records.where(F.col("text_page_share").isNotNull() & (F.col("text_page_share") < least))
+
+
+def unmeasured(records: DataFrame) -> DataFrame:
+    """Records with a local file but without what is measured of it: to be computed again."""
+    return records.where(F.col("local_path").isNotNull() & (F.col("text_page_share").isNull() | F.col("is_draft").isNull()))
+
+
+def newest_first(records: DataFrame, most: int | None = None) -> DataFrame:
+    """Records by date, the newest first; at most ``most`` of them, if given (the limit is the feature)."""
+    own = records.orderBy(F.desc("sitting_date"), F.asc("doc_id"))
+    return own if most is None else own.limit(most)

@@ -27,12 +27,25 @@ def per_question(questions: DataFrame, ranked: DataFrame, relevant: DataFrame, k
     ).drop("__n", "__first", "__dcg")
 
 
+def counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., value, n, before, all): rows of each distinct value, rows of smaller ones, rows of the group; nulls are left out.
+
+    Rows are counted before they are shuffled, so what a task orders is a group's distinct values.
+    """
+    w = Window.partitionBy(*by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return counts.withColumn("before", F.sum("n").over(w.orderBy(value)) - F.col("n")).withColumn("all", F.sum("n").over(w))
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(by..., names...): for each share p the value at place floor(n * p) of the group's n sorted values, the last at most."""
-    w = Window.partitionBy(*by).orderBy(value)
-    placed = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w).alias("__k"), F.count("*").over(Window.partitionBy(*by)).alias("__n"))
-    at = lambda p: F.least(F.floor(F.col("__n") * p), F.col("__n") - 1) + 1
-    return placed.groupBy(*by).agg(*[F.max(F.when(F.col("__k") == at(p), F.col(value))).alias(name) for name, p in shares.items()])
+    placed = counted(df, by, value)
+
+    def at(p: float):
+        place = F.least(F.floor(F.col("all") * p), F.col("all") - 1)
+        return place.between(F.col("before"), F.col("before") + F.col("n") - 1)
+
+    return placed.groupBy(*by).agg(*[F.max(F.when(at(p), F.col(value))).alias(name) for name, p in shares.items()])
 
 
 def summary(rows: DataFrame, slices: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rostra.functions import text as T
 from rostra.operators import ordered
+from rostra.operators.evaluate import counted
 from rostra.operators.resolve import RESOLVED
 
 
@@ -99,9 +100,38 @@ def modal(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
 def page_stats(pages: DataFrame) -> DataFrame:
     """(doc_id, pages, median_chars, thin): the upper median of page lengths, and pages under 50 characters."""
     own = pages.select("doc_id", F.length("text").alias("c"))
-    w = Window.partitionBy("doc_id")
-    placed = own.withColumn("k", F.row_number().over(w.orderBy("c")) - 1).withColumn("n", F.count("*").over(w))
-    return placed.groupBy("doc_id").agg(F.max("n").alias("pages"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col("c"))).alias("median_chars"), F.sum((F.col("c") < 50).cast("int")).alias("thin"))
+    thin = own.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum((F.col("c") < 50).cast("int")).alias("thin"))
+    placed = counted(own, ["doc_id"], "c").where(F.floor(F.col("all") / 2).between(F.col("before"), F.col("before") + F.col("n") - 1))
+    return thin.join(placed.select("doc_id", F.col("c").alias("median_chars")), "doc_id", "left")
+
+
+def methods(turns: DataFrame) -> DataFrame:
+    """(resolution, n), the most frequent first."""
+    return turns.groupBy("resolution").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("resolution"))
+
+
+def first_turns(turns: DataFrame, method: str, most: int = 100) -> DataFrame:
+    """The first turns of a method, by document and place (the limit is the feature)."""
+    return turns.where(F.col("resolution") == method).orderBy("doc_id", "seq").limit(most)
+
+
+def registry_view(people: DataFrame) -> DataFrame:
+    """Persons by name, those without a seat last."""
+    return people.orderBy(F.size("constituencies") == 0, "name")
+
+
+def meetings(sittings: DataFrame) -> DataFrame:
+    """(meeting, sittings, newest): doc_ids of each meeting, newest sitting first; a meeting without a title is named by its numbers."""
+    named = F.coalesce("mesyuarat_title", F.concat(F.lit("Penggal "), F.col("penggal").cast("string"), F.lit(" · Mesyuarat "), F.col("mesyuarat").cast("string")))
+    both = F.reverse(F.array_sort(F.collect_list(F.struct("sitting_date", "doc_id"))))
+    return sittings.groupBy(named.alias("meeting")).agg(both.alias("b")).select("meeting", F.transform("b", lambda s: s["doc_id"]).alias("sittings"), F.get("b", F.lit(0))["sitting_date"].alias("newest"))
+
+
+def rests_on(answers: DataFrame, sources: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, sittings): distinct dates of the sources that each answer cites; 0 if it cites none. answers: key, answer; sources: key, n, date."""
+    cited = answers.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit(r"\[([0-9]{1,2})\]"), F.lit(1)), lambda n: n.cast("int")))).alias("n"))
+    dates = sources.join(cited, [key, "n"], "left_semi").groupBy(key).agg(F.count_distinct("date").alias("sittings"))
+    return answers.select(key).join(dates, key, "left").select(key, F.coalesce("sittings", F.lit(0)).alias("sittings"))
 
 
 def evidence(turns: DataFrame, words: list[str], key: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rostra.functions import text as T
-from rostra.operators import catalog, index, ordered, report, resolve
+from rostra.operators import catalog, index, ordered, parse, report, resolve
 from rostra.plans.size import if_small
 from rostra.queries.registry import query, read
 from rostra.sources import html
@@ -346,3 +346,49 @@ def range_overlap(spark, sf_dir):
     spans = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("o_custkey")).agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("z"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_add(F.to_date("o_orderdate"), 9000).alias("d"))
     return orders.join(if_small(spans), "o_custkey").select("o_orderkey", F.col("d").between(F.col("a"), F.col("z")).alias("inside"))
+
+
+# --- views and whole-parse reports ---------------------------------------------------------------------------------
+
+
+@query("SELECT source AS resolution, count(*) AS n FROM documents GROUP BY 1")
+def turn_methods(spark, sf_dir):
+    return report.methods(read(spark, sf_dir, "documents").withColumnRenamed("source", "resolution"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS seq FROM conversations WHERE role = 'user' ORDER BY conv_id, turn LIMIT 100")
+def first_turns(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("role").alias("resolution"))
+    return report.first_turns(turns, "user").select("doc_id", "seq")
+
+
+@query("""WITH o AS (SELECT coalesce(CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END, 'Penggal ' || (o_custkey % 2)::VARCHAR || ' · Mesyuarat ' || (o_custkey % 4)::VARCHAR) AS meeting, o_orderkey, o_orderdate::DATE AS d FROM orders)
+SELECT meeting, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY d DESC, o_orderkey DESC) AS sittings, max(d) AS newest FROM o GROUP BY 1""")
+def meetings(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("sitting_date"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority")).alias("mesyuarat_title"), (F.col("o_custkey") % 2).alias("penggal"), (F.col("o_custkey") % 4).alias("mesyuarat")
+    )
+    return report.meetings(orders).select("meeting", F.array_join("sittings", " ").alias("sittings"), "newest")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS query_id, l_linenumber AS n, l_shipdate AS date FROM lineitem), c AS (SELECT o_orderkey AS query_id, o_custkey % 4 AS a, o_custkey % 6 AS b FROM orders)
+SELECT c.query_id, count(DISTINCT s.date) AS sittings FROM c LEFT JOIN s ON s.query_id = c.query_id AND (s.n = a OR s.n = b) GROUP BY 1""")
+def rests_on(spark, sf_dir):
+    cite = lambda m: F.concat(F.lit("["), (F.col("o_custkey") % m).cast("string"), F.lit("]"))
+    answers = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("Ya "), cite(4), F.lit(" dan "), cite(6), F.lit(" [100]")).alias("answer"))
+    sources = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("int").alias("n"), F.col("l_shipdate").alias("date"))
+    return report.rests_on(answers, sources)
+
+
+@query("""SELECT source AS doc_id, count(DISTINCT doc_id) AS pages, coalesce(string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) FILTER (doc_id % 2 = 0 AND n_chars < 300), '') AS empty FROM documents GROUP BY 1""")
+def empty_pages(spark, sf_dir):
+    own = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), (F.col("doc_id") % 2 == 0).alias("debate"), F.when(F.col("n_chars") < 300, " ").otherwise("x").alias("text"))
+    return parse.empty_pages(own).select("doc_id", "pages", F.array_join("empty", " ").alias("empty"))
+
+
+@query("""SELECT doc_id, n_chars < 900 AS broken, n_chars % 5 = 0 AS unmeasured FROM (SELECT doc_id, n_chars FROM documents) WHERE (n_chars % 5 > 0 AND n_chars < 900) OR n_chars % 5 = 0""")
+def file_checks(spark, sf_dir):
+    """Records that need a better copy (broken) or measuring (unmeasured); every fifth has no share."""
+    own = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit("p").alias("local_path"), F.lit(False).alias("is_draft"), F.when(F.col("n_chars") % 5 > 0, F.col("n_chars") / 1000.0).alias("text_page_share"))
+    kinds = catalog.broken(own).unionByName(catalog.unmeasured(own))
+    return kinds.select("doc_id", (F.col("n_chars") < 900).alias("broken"), F.col("text_page_share").isNull().alias("unmeasured"))

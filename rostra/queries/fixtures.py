@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rostra.functions import labels as L
 from rostra.functions import text as T
-from rostra.operators import attendance, catalog, evaluate, index, ordered, report, resolve, segment, verify
+from rostra.operators import attendance, catalog, evaluate, index, ordered, parse, report, resolve, segment, verify
 from rostra.queries.registry import fixture, query
 from rostra.sources import files, html, ocr
 
@@ -313,3 +313,19 @@ def index_actions(spark, sf_dir):
 def quantised(spark, sf_dir):
     own = files.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
     return own.select("vec_id", F.aggregate("embedding", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+_WHOLE = [
+    ("D1", 1, 1, 1, "iv", False, False), ("D1", 2, 1, 1, "1", False, False), ("D1", 2, 2, 1, "[Timbalan Yang di-Pertua (Puan Mei Ling Tan) mempengerusikan Mesyuarat]", False, True),
+    ("D1", 2, 3, 1, "Tuan Pengerusi:", True, False), ("D1", 2, 3, 2, " Sila duduk. ", False, False), ("D1", 2, 3, 3, "[Tuan Yang di-Pertua mempengerusikan Mesyuarat]", False, True),
+    ("D1", 2, 4, 1, "Tuan Ravi a/l Kumar [Kota Dua]:", True, False), ("D1", 2, 4, 2, " Satu soalan.", False, False), ("D1", 2, 5, 1, "■1040", False, False), ("D1", 2, 6, 1, "Seorang Ahli:", True, False), ("D1", 2, 6, 2, " Betul!", False, False),
+    ("D1", 3, 1, 1, "2", False, False), ("D1", 3, 2, 1, "Tuan Ravi a/l Kumar [Kota Dua]:", True, False), ("D1", 3, 2, 2, " Terima kasih.", False, False), ("D1", 3, 3, 1, "Tuan Pengerusi:", True, False), ("D1", 3, 3, 2, " Ya.", False, False),
+]
+
+
+@query()
+def parse_run(spark, sf_dir):
+    from rostra.schemas import ATTENDANCE, SPANS
+
+    records = spark.createDataFrame([("D1", "2024-01-01", False, "https://x.example/1")], "doc_id string, sitting_date string, is_draft boolean, source_url string")
+    return parse.run(spark.createDataFrame(_WHOLE, SPANS), spark.createDataFrame(_PRESENT, ATTENDANCE), records, "dewan contoh", ocr=spark.createDataFrame([("D1", 3)], "doc_id string, page int"))

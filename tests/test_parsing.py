@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from rostra.operators import segment
+from rostra.operators import parse, resolve, segment
 from rostra.queries import fixtures
 from rostra.schemas import SPANS
 from rostra.sources import html
@@ -62,3 +62,22 @@ def test_dom_and_pattern_links_agree(spark, sf):
     members = html.members(pages, "https://x.example")
     assert members.columns == ["name", "seat_code", "constituency", "photo_url", "profile_url"] and members.count() == 0
     assert pages.select(html.title(F.col("html"))).count() == pages.count()
+
+
+def test_whole_parse(spark):
+    rows = {r.seq: r for r in fixtures.parse_run(spark, "").collect()}
+    assert [(rows[k].speaker_id, rows[k].resolution) for k in range(5)] == [
+        ("mei-ling-tan", "chair_carried"), ("ravi-kumar", "label_constituency"), (None, "unattributed"), ("ravi-kumar", "label_constituency"), ("ali-abu", "chair_carried")
+    ]
+    assert [rows[k].is_interjection for k in range(5)] == [False, False, True, False, False]
+    assert [rows[k].page_label_start for k in range(5)] == ["1", "1", "1", "2", "2"] and [rows[k].ocr for k in range(5)] == [False, False, False, True, True]
+    assert [rows[k].times for k in range(5)] == [[], ["1040"], [], [], []] and rows[0].turn_id == "D1:0000"
+    assert rows[0].stage_directions == ["Tuan Yang di-Pertua mempengerusikan Mesyuarat"] and rows[1].text == "Satu soalan."
+
+
+def test_chair_without_a_speaker(spark):
+    """A direction without a name empties the chair where the list names no Speaker; before the first turn the preamble holds."""
+    turns = spark.createDataFrame([("D", 0, ["Tuan Yang di-Pertua mempengerusikan Mesyuarat"], None, None), ("D", 1, [], "Dato A", "Tuan Pengerusi"), ("D", 2, [], None, None)], "doc_id string, seq int, stage_directions array<string>, name string, role string")
+    before = spark.createDataFrame([("D", ["Tepuk", "Pengerusi (Puan B) mempengerusikan Mesyuarat"])], "doc_id string, stage_directions array<string>")
+    got = parse.chairs(turns, before, resolve.empty_attendance(spark)).collect()
+    assert {r.seq: r.chair for r in got} == {0: "Puan B", 1: None, 2: "Dato A"}
