@@ -48,12 +48,21 @@ def span_ends(df: DataFrame, by: list[str], start: str, end: Column, column: str
 
 
 def even_sample(df: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
-    """At most k rows of each ``by``, spread evenly over its order (a sampling operator)."""
-    w = Window.partitionBy(by)
-    placed = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+    """At most k rows of each ``by``, spread evenly over its order (a sampling operator).
+
+    Rows are counted by the first order column; only its values that hold a chosen place have their rows ordered.
+    """
+    key = [F.col(by).alias("__by"), F.col(order[0]).alias("__at")]
+    counts = df.groupBy(*key).agg(F.count("*").alias("__m"))
+    w = Window.partitionBy("__by")
+    counts = counts.withColumn("__before", F.sum("__m").over(w.orderBy("__at")) - F.col("__m")).withColumn("__n", F.sum("__m").over(w))
     step = F.greatest(F.col("__n") / F.lit(float(k)), F.lit(1.0))
     picks = F.transform(F.sequence(F.lit(0), F.least(F.lit(k), F.col("__n")).cast("int") - 1), lambda i: F.floor(i * step))
-    return placed.where(F.array_contains(picks, F.col("__i").cast("long"))).drop("__i", "__n")
+    own = F.filter(picks, lambda i: (i >= F.col("__before")) & (i < F.col("__before") + F.col("__m")))
+    chosen = counts.select("__by", "__at", "__before", own.alias("__picks")).where(F.size("__picks") > 0)
+    rows = df.join(chosen, F.col(by).eqNullSafe(F.col("__by")) & F.col(order[0]).eqNullSafe(F.col("__at")))
+    place = F.row_number().over(Window.partitionBy("__by", "__at").orderBy(*order)) - 1 + F.col("__before")
+    return rows.withColumn("__i", place).where(F.array_contains("__picks", F.col("__i").cast("long"))).select(*df.columns)
 
 
 def newest(df: DataFrame, by: str, version: Column, order: str, url: str, column: str = "superseded_urls") -> DataFrame:
