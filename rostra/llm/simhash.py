@@ -354,7 +354,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Two texts are near copies if the Jaccard similarity of their distinct NEAR_WORDS-word shingles is SIMILAR or more. They are searched by
     min-hash shards: two such texts share one of the KEYS min-hashes in 99.2 of 100 cases or more. Each shard is a BK-tree of op9's fingerprints searched within
     NEAR_BITS, and what it finds is verified by shingles: all of them below SKETCH, the SKETCH smallest hashes (a standard error of 0.0125) beyond.
-    Null and empty texts are copies of each other. Columns may have any names but ``__near_uid``.
+    Null and empty texts are copies of each other, so one of them stays; of repeated rows one stays. A very long text is one sketch of at most SKETCH
+    hashes. An empty table gives an empty result. Columns may have any names but ``__near_uid``.
     """
     numbered = stage(docs.withColumn("__near_uid", F.monotonically_increasing_id()), "numbered")
     rows = stage(_sketched(numbered.select(F.col("__near_uid").alias("uid"), "doc_id", "text")), "sketches")
