@@ -64,16 +64,20 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _folded(text: Column) -> Column:
+    # The Arrow function gets null for texts that are all ASCII, which NFKC leaves alone.
+    return F.lower(F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text, F.lit("")))
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits of the NFKC form."""
-    # The Arrow function gets null for texts that are all ASCII, which NFKC leaves alone.
-    normal = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text, F.lit(""))
-    return F.regexp_extract_all(F.lower(normal), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(_folded(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits of the NFKC form, without single letters."""
-    return F.filter(words(text), lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
+    """words() without single letters."""
+    # A run of two or more is always taken whole, so the second form only meets digits that stand alone.
+    return F.regexp_extract_all(_folded(text), F.lit("[a-z0-9]{2,}|[0-9]"), F.lit(0))
 
 
 def term_index(term: Column) -> Column:

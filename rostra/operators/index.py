@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostra.functions import text as T
+from rostra.plans.size import BROADCAST_ROWS, held, is_small
 
 K1, B = 1.2, 0.75
 
@@ -30,11 +31,44 @@ def stats(chunks: DataFrame, key: str, text: str = "text") -> Stats:
     return Stats(row.n, float(row.avg or 0.0))
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), value being computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(terms: Column) -> Column:
+    """array<struct<term, tf>> of the distinct terms of an array, by runs of equal terms in sorted order."""
+
+    def runs(own: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
+        ends = lambda starts, k: F.coalesce(F.get(starts, k + 1), F.size(own))
+        return _bound(begins, lambda s: F.transform(s, lambda b, k: F.struct(F.get(own, b).alias("term"), (ends(s, k) - b).cast("long").alias("tf"))))
+
+    return F.when(F.size(terms) > 0, _bound(F.sort_array(terms), runs))
+
+
 def postings(chunks: DataFrame, key: str, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """(term, key, tf, dl); with ``terms`` (column term), only theirs, so that other tokens are not shuffled."""
-    each = with_tokens(chunks, key, text).select(key, "dl", F.explode("terms").alias("term"))
+    """(term, key, tf, dl) of chunks with one row a key; with ``terms`` (column term), only theirs.
+
+    Terms are counted within a chunk's row, so nothing is shuffled.
+    """
+    each = with_tokens(chunks, key, text).select(key, "dl", F.inline(term_counts(F.col("terms"))))
     each = each if terms is None else each.join(terms, "term")
-    return each.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return each.select("term", key, "tf", "dl")
+
+
+def frequencies(chunks: DataFrame, key: str, terms: DataFrame, text: str = "text") -> tuple[Stats, DataFrame]:
+    """The corpus statistics and (term, df) of the terms (column term, distinct), both by one pass over the texts.
+
+    Every chunk also counts for the empty term, which no text has: its row holds their number and lengths.
+    """
+    if not is_small(terms):
+        return stats(chunks, key, text), term_stats(postings(chunks, key, text, terms)).select("term", "df")
+    sought = F.broadcast(terms.select("term").union(chunks.sparkSession.createDataFrame([("",)], "term string")))
+    each = with_tokens(chunks, key, text).select("dl", F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term"))
+    counts = held(each.join(sought, "term").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")), BROADCAST_ROWS + 1)
+    row = counts.where("term = ''").first()
+    return (Stats(row.df, row.length / row.df) if row else Stats(0, 0.0)), counts.where("term <> ''").select("term", "df")
 
 
 def term_stats(posted: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from rostra.functions import text as T
 from rostra.operators import index
-from rostra.plans.size import if_small
+from rostra.plans.size import held, if_small
 
 CANDIDATES, POOL, TOP, RRF_K, LEAST = 40, 30, 8, 60, 0.02
 #: Query vectors that are matched in one pass over the chunks.
@@ -69,14 +69,17 @@ def bm25(queries: DataFrame, chunks: DataFrame | index.Index, k: int, qkey: str
     The corpus statistics are those of all chunks; only ``allowed`` chunks (column key) are ranked. A query without tokens has no rows.
     """
     asked = queries.select(qkey, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    terms = asked.select("term").distinct()
+    ids = None if allowed is None else allowed.select(key).distinct()
     if isinstance(chunks, index.Index):
-        corpus, posted = chunks.stats, chunks.of(if_small(asked.select("term").distinct()))
+        posted = chunks.of(if_small(terms))
+        corpus, known = chunks.stats, held(posted.groupBy("term").agg(F.count("*").alias("df")))
+        ranked = posted if ids is None else posted.join(ids, key, "left_semi")
     else:
-        corpus = index.stats(chunks, key)
-        posted = index.postings(chunks, key, terms=if_small(asked.select("term").distinct()))
-    known = posted.groupBy("term").agg(F.count("*").alias("df"))
+        corpus, known = index.frequencies(chunks, key, terms)
+        # What isn't allowed is left out before its text is taken apart.
+        ranked = index.postings(chunks if ids is None else chunks.select(key, "text").join(ids, key, "left_semi"), key, terms=if_small(terms))
     weighed = asked.join(known, "term").select(qkey, "term", index.idf(corpus.n, F.col("df")).alias("idf"))
-    ranked = posted if allowed is None else posted.join(allowed.select(key).distinct(), key, "left_semi")
     scored = ranked.join(if_small(weighed), "term").groupBy(qkey, key).agg(F.sum(F.col("idf") * index.weight(F.col("tf"), F.col("dl"), corpus.avg_len)).alias("score"))
     return top(scored, qkey, "score", key, k)
 

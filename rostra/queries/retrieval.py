@@ -157,10 +157,9 @@ def _relevant(spark, sf_dir):
     raw = T.words(F.col("passage"))
     inner = F.filter(F.slice(raw, 2, F.greatest(F.size(raw) - 2, F.lit(0))), lambda t: F.length(t) > 1)
     terms = passages.select("query_id", F.explode(F.array_distinct(inner)).alias("term"))
-    posted = index.postings(docs, "turn_id", terms=if_small(terms.select("term").distinct()))
-    counts = terms.join(posted.groupBy("term").agg(F.count("*").alias("df")), "term")
-    rarest = counts.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    pairs = posted.join(if_small(rarest), "term").select("query_id", "turn_id")
+    _, counts = index.frequencies(docs, "turn_id", terms.select("term").distinct())
+    rarest = if_small(terms.join(counts, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term")))
+    pairs = index.postings(docs, "turn_id").join(rarest, "term").select("query_id", "turn_id")
     holding = pairs.join(docs, "turn_id").join(if_small(passages), "query_id").where(F.contains("text", "passage")).select("query_id", "turn_id")
     bare = passages.join(terms.select("query_id").distinct(), "query_id", "left_anti")
     return holding.unionAll(docs.join(if_small(bare), F.contains("text", "passage")).select("query_id", "turn_id"))

@@ -1,12 +1,13 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from rostra import schemas
 from rostra.operators import catalog, index, report, resolve, retrieve
-from rostra.plans import providers
+from rostra.plans import providers, size
 from rostra.plans.engine import Engine, register
 from rostra.sources import files
 from rostra.streaming import limits
@@ -230,3 +231,25 @@ def test_registry_suffixes(spark):
     rows = [(f"2024-01-0{k}", k, n) for k, n in enumerate(["Ali Abu", "Ali  Abu", "Ali-Abu"], 1)]
     own = spark.createDataFrame([("D", d, k, "present", n, None, n, None) for d, k, n in rows], schemas.ATTENDANCE)
     assert sorted(r.speaker_id for r in resolve.registry(own).collect()) == ["ali-abu"]
+
+
+def test_term_counts_and_frequencies(spark):
+    texts = [None, "", "a b c", "b2 5 55 é5 Zz zz x zz", "zz 5 5 5 ab1-ab1"] + [f"w{k} zz" for k in range(5)]
+    own = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    want = {}
+    for k, t in enumerate(texts):
+        runs = re.findall("[a-z0-9]+", (t or "").lower())
+        for x in (kept := [x for x in runs if len(x) > 1 or x.isdigit()]):
+            want[x, k] = (kept.count(x), len(kept))
+    assert {(r.term, r.chunk_id): (r.tf, r.dl) for r in index.postings(own, "chunk_id").collect()} == want
+    terms = spark.createDataFrame([("zz",), ("5",), ("none",)], "term string")
+    stats, counts = index.frequencies(own, "chunk_id", terms)
+    assert stats == index.stats(own, "chunk_id") and {r.term: r.df for r in counts.collect()} == {t: sum(x == t for x, _ in want) for t in ("zz", "5")}
+    stats, counts = index.frequencies(own.limit(0), "chunk_id", terms)
+    assert stats == index.Stats(0, 0.0) and counts.count() == 0
+
+
+def test_size_bounds(spark):
+    rows = spark.createDataFrame([(k, "x" * 100, ["y" * 50]) for k in range(20)], "k long, s string, a array<string>")
+    assert size.is_small(rows, 20) and not size.is_small(rows, 19) and not size.is_small(rows, 20, 3000) and size.is_small(rows.limit(0))
+    assert size.held(rows, 19) is rows and sorted(size.held(rows, 20).collect()) == sorted(rows.collect())
