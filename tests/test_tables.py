@@ -1,6 +1,7 @@
 import json
 import random
 import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,15 @@ def test_size_bounds(spark):
     rows = spark.createDataFrame([(k, "x" * 100, ["y" * 50]) for k in range(20)], "k long, s string, a array<string>")
     assert size.is_small(rows, 20) and not size.is_small(rows, 19) and not size.is_small(rows, 20, 3000) and size.is_small(rows.limit(0))
     assert size.held(rows, 19) is rows and sorted(size.held(rows, 20).collect()) == sorted(rows.collect())
+
+
+def test_fuzzy_match_finds_all_alike_names(spark, sf):
+    from rostra.functions import names
+    from rostra.queries import QUERIES
+
+    own = {}
+    for r in spark.read.parquet(f"{sf}/part.parquet").orderBy("p_partkey").collect():
+        own.setdefault((r.p_brand, r.p_name), r.p_partkey)
+    alike = lambda a, b: min(len({*a.split()}), len({*b.split()})) >= 2 and ({*a.split()} <= {*b.split()} or {*b.split()} <= {*a.split()}) or SequenceMatcher(None, a, b).ratio() >= names.RATIO
+    want = {(own[brand, a], own[other, b]) for brand, a in own for other, b in own if brand == other and a < b and alike(a.lower(), b.lower())}
+    assert set(map(tuple, QUERIES["fuzzy_match"](spark, sf).collect())) == want and want
