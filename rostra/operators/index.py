@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rostra.functions import text as T
 from rostra.plans.size import BROADCAST_ROWS, held, is_small
@@ -92,10 +96,34 @@ def idf(n: int, df: Column) -> Column:
 
 
 def digest(parts: list[Column], group: list[str], df: DataFrame, order: list[str]) -> DataFrame:
-    """(group..., digest): the first 16 hex digits of the SHA-256 of the group's parts, line by line in order."""
-    rows = df.select(*group, F.struct(*order, F.concat_ws("\t", *parts).alias("__v")).alias("__r"))
-    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_list("__r")).alias("__r"))
-    return listed.select(*group, F.substring(F.sha2(F.array_join(F.col("__r.__v"), "\n"), 256), 1, 16).alias("digest"))
+    """(group..., digest): the first 16 hex digits of the SHA-256 of the group's parts, line by line in order (equal places by the parts).
+
+    A group's lines are sorted on disk if need be and hashed as they come, so a large group costs time, not memory.
+    """
+    lines = df.select(*group, F.struct(*order).alias("__o"), F.concat_ws("\t", *parts).alias("__v"))
+    lines = lines.repartition(*group).sortWithinPartitions(*group, "__o", "__v").select(*group, "__v")
+    fields = [lines.schema[g] for g in group]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state = None, None
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*own, state.hexdigest()[:16]], [*kinds, pa.string()], strict=True)], names=[*group, "digest"])
+
+        for batch in batches:
+            for *key, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != own:
+                    if own is not None:
+                        yield closed()
+                    own, state = key, hashlib.sha256(line.encode())
+                else:
+                    state.update(b"\n")
+                    state.update(line.encode())
+        if own is not None:
+            yield closed()
+
+    return lines.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "digest string"]))
 
 
 def plan(current: DataFrame, state: DataFrame, stored: DataFrame, key: str = "doc_id", metadata_only: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from rostra.functions import labels as L
 from rostra.functions import text as T
 from rostra.operators import attendance, catalog, evaluate, index, ordered, parse, report, resolve, segment, verify
 from rostra.queries.registry import fixture, query
-from rostra.sources import files, html, ocr
+from rostra.sources import crawl, files, html, ocr
 
 _LINES = """(VALUES ('D1', 1, 1, 'DEWAN CONTOH'), ('D1', 1, 2, 'i'), ('D1', 1, 3, 'Ahli-ahli Yang Hadir:'), ('D1', 2, 1, '12.3.2024'), ('D1', 2, 2, '1'), ('D1', 2, 3, 'USUL'), ('D1', 3, 1, 'Dewan Contoh'),
   ('D1', 3, 2, 'Tuan A:'), ('D1', 3, 3, '■1040'), ('D1', 3, 4, 'satu'), ('D1', 3, 5, '42'), ('D2', 1, 1, 'ii'), ('D2', 1, 2, 'none')) AS l(doc_id, page, line, text)"""
@@ -329,3 +329,21 @@ def parse_run(spark, sf_dir):
 
     records = spark.createDataFrame([("D1", "2024-01-01", False, "https://x.example/1")], "doc_id string, sitting_date string, is_draft boolean, source_url string")
     return parse.run(spark.createDataFrame(_WHOLE, SPANS), spark.createDataFrame(_PRESENT, ATTENDANCE), records, "dewan contoh", ocr=spark.createDataFrame([("D1", 3)], "doc_id string, page int"))
+
+
+_NODES = """(VALUES ('0_15', 'T0', '<tree><item id="P4" text="Penggal Keempat"/><item id="PX" text="Penggal Akhir"/></tree>'), ('P4', 'T1', '<tree><item id="M1" text="Mesyuarat Pertama (2)"/><item id="M0" text="Mesyuarat Khas"/></tree>'),
+    ('M1', 'T2', '<tree><item id="a" text="x"><userdata name="myurl">loadResult("/p/DR-03022031.pdf")</userdata></item><item id="b" text="y"><userdata name="myurl">loadResult("/p/DR-04022031 - NOTA.pdf")</userdata></item></tree>'),
+    ('M0', 'T3', '<tree><item id="c" text="z"><userdata name="myurl">#</userdata></item><item id="d" text="z"><userdata name="myurl">loadResult("/p/DR-05022031.pdf")</userdata></item></tree>')) AS n(id, url, quoted)"""
+
+
+@query(f"""WITH i AS (SELECT id AS parent, url AS listing_url, unnest(regexp_extract_all(quoted, '<item [^>]*(?:/>|>.*?</item>)')) AS item FROM {_NODES}),
+     x AS (SELECT parent, listing_url, regexp_extract(item, 'id="([^"]*)"', 1) AS id, regexp_extract(item, 'text="([^"]*)"', 1) AS text, regexp_extract(item, '"(/p/[^"]*[.]pdf)"', 1) AS path FROM i),
+     o AS (SELECT * FROM (VALUES ('Pertama', 1), ('Keempat', 4)) AS o(word, number)),
+     t AS (SELECT id, number AS penggal FROM x JOIN o ON text = 'Penggal ' || word WHERE parent = '0_15'),
+     m AS (SELECT x.id AS id, penggal, number AS mesyuarat, text AS mesyuarat_title FROM x JOIN t ON parent = t.id LEFT JOIN o ON starts_with(text, 'Mesyuarat ' || word || ' '))
+SELECT strftime(strptime(regexp_extract(path, 'DR-([0-9]{{8}})', 1), '%d%m%Y'), '%Y-%m-%d') AS sitting_date, penggal, mesyuarat, mesyuarat_title, listing_url, path AS source_url, nullif(regexp_extract(path, ' - ([A-Z]+)', 1), '') AS filename_note
+FROM x JOIN m ON parent = m.id WHERE path <> ''""")
+def tree_hierarchy(spark, sf_dir):
+    pages = fixture(spark, _NODES).withColumn("body", F.regexp_replace("quoted", r'loadResult\("([^"]*)"\)', "loadResult('$1')"))
+    records, _ = crawl.tree(pages, 15, "")
+    return records.select("sitting_date", "penggal", "mesyuarat", "mesyuarat_title", "listing_url", "source_url", "filename_note")

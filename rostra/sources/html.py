@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from html import unescape
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -118,26 +120,37 @@ def title(html: Column) -> Column:
     return T.collapse(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+#: Fixed value: how a tree names a file.
+_FILE = re.compile(r"(?i)loadResult\('([^']+\.pdf)'")
+
+
+def page_items(body: str) -> list[dict[str, str | None]]:
+    root = ElementTree.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", body))
+    out = []
+    for item in root.findall("item"):
+        link = item.find("userdata[@name='myurl']")
+        file = _FILE.search((link.text if link is not None else None) or "")
+        out.append({"id": item.get("id", ""), "text": " ".join(item.get("text", "").split()), "url": file and file.group(1)})
+    return out
+
+
 def tree_items(body: Column) -> Column:
-    """array<struct(id, text, url)> of the direct item children of an XML tree; a declaration before it is skipped."""
-    xml = F.regexp_replace(body, r"^\s*<\?xml[^>]*\?>", "")
-    ids, texts = F.xpath(xml, F.lit("/*/item/@id")), F.xpath(xml, F.lit("/*/item/@text"))
-    urls = F.transform(ids, lambda i: F.lit(None).cast("string"))
-    return F.transform(F.arrays_zip(ids.alias("id"), texts.alias("text"), urls.alias("url")), lambda x: F.struct(x["id"].alias("id"), T.collapse(x["text"]).alias("text"), x["url"].alias("url")))
+    """array<struct(id, text, url)> of the direct item children of an XML tree; a declaration before it is skipped; url: the file an item opens, or null."""
+    return _rows(page_items, ("id", "text", "url"))(body)
 
 
-def numbered_links(found: DataFrame, pattern: str, ordinals: bool = False) -> DataFrame:
-    """(key columns, handle, text, number): links to handles whose text begins with a number or an ordinal word; of one handle the last counts."""
+def numbered_links(found: DataFrame, pattern: str, ordinals: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., handle, text, number): links to handles whose text begins with a number or an ordinal word; of one handle (of each ``by``) the last counts."""
     token = F.upper(F.regexp_extract("text", pattern, 1))
     number = F.array_position(F.array(*map(F.lit, T.ORDINALS)), token).cast("int") if ordinals else F.try_to_number(token, F.lit("999")).cast("int")
     own = found.where(F.col("href").startswith("/handle/") & F.col("text").rlike(pattern)).withColumn("number", F.nullif(number, F.lit(0))).where("number IS NOT NULL")
     own = own.withColumn("handle", F.substring("href", 9, 1 << 20))
-    return own.groupBy("handle").agg(F.max_by(F.struct("text", "number"), "position").alias("x")).select("handle", "x.*").orderBy("number")
+    return own.groupBy(*by, "handle").agg(F.max_by(F.struct("text", "number"), "position").alias("x")).select(*by, "handle", "x.*").orderBy("number")
 
 
-def listed_files(found: DataFrame, prefix: str = "/bitstream/") -> DataFrame:
-    """(path, filename, parsed) of links to sitting files, without their query strings; parsed is null where the name has another shape."""
+def listed_files(found: DataFrame, prefix: str = "/bitstream/", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., path, filename, parsed) of links to sitting files, without their query strings; parsed is null where the name has another shape."""
     path = F.substring_index("href", "?", 1)
-    own = found.where(F.col("href").startswith(prefix)).select(path.alias("path"), F.url_decode(T.basename(path)).alias("filename")).distinct()
+    own = found.where(F.col("href").startswith(prefix)).select(*by, path.alias("path"), F.url_decode(T.basename(path)).alias("filename")).distinct()
     own = own.where(F.lower("filename").endswith(".pdf") | ~F.contains("filename", F.lit(".")))
     return own.withColumn("parsed", parse_filename(F.col("filename")))

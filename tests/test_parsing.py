@@ -81,3 +81,51 @@ def test_chair_without_a_speaker(spark):
     before = spark.createDataFrame([("D", ["Tepuk", "Pengerusi (Puan B) mempengerusikan Mesyuarat"])], "doc_id string, stage_directions array<string>")
     got = parse.chairs(turns, before, resolve.empty_attendance(spark)).collect()
     assert {r.seq: r.chair for r in got} == {0: "Puan B", 1: None, 2: "Dato A"}
+
+
+def test_crawl_hierarchies(spark):
+    from rostra.sources import crawl, html
+
+    pages = [
+        ("0_15", "T&id=0_15", "<tree id='0_15'><item id='P4' text='Penggal Keempat'/><item id='P?' text='Penggal Akhir'/></tree>"),
+        ("P4", "T&id=P4", "<?xml version='1.0' encoding='iso-8859-1'?><tree><item id='M0' text='Mesyuarat  Khas (1)'><userdata name='myurl'>#</userdata></item><item id='M1' text='Mesyuarat Pertama (2)'/></tree>"),
+        ("M0", "T&id=M0", "<tree id='x'/>"),
+        ("M1", "T&id=M1", "<tree><item id='a' text='x'><userdata name='myurl'>javascript:loadResult('/p/DR-03022031.pdf','y')</userdata></item><item id='b' text='x'><userdata name='myurl'>javascript:loadResult('/p/lain.pdf','y')</userdata></item></tree>"),
+    ]
+    records, unparsed = crawl.tree(spark.createDataFrame(pages, "id string, url string, body string"), 15, "https://w")
+    assert [(r.doc_id, r.penggal, r.mesyuarat, r.listing_url, r.source_url) for r in records.collect()] == [("DR-2031-02-03", 4, 1, "T&id=M1", "https://w/p/DR-03022031.pdf")]
+    assert sorted(map(tuple, unparsed.collect())) == [("https://w/p/lain.pdf", "Mesyuarat Pertama (2)"), ("penggal?", "Penggal Akhir")]
+    tally = crawl.counters(spark.createDataFrame([("ok",), ("ok",), ("timeout",)], "status string"), unparsed).first()
+    assert tuple(tally) == (3, 1, 2)
+
+    shown = """<span class="boxMesyuaratTextA"><strong>Mesyuarat Khas, Penggal Kelima  Parlimen Kelima Belas (2031)</strong>
+    <a href="javascript:loadResult('/p/DR-11082031.pdf','x');">a</a><a href="javascript:loadResult('/p/DR-11082031.pdf','x');">a</a>"""
+    page = spark.createDataFrame([("CUR", shown), ("EMPTY", "<p>"), ("NULL", None)], "url string, html string")
+    records, unparsed = crawl.current_meeting(page, 15, "https://w")
+    assert [(r.doc_id, r.penggal, r.mesyuarat, r.listing_url) for r in records.collect()] == [("DR-2031-08-11", 5, None, "CUR")] and unparsed.count() == 0
+    assert crawl.current_meeting(page, 14, "https://w")[0].count() == crawl.current_meeting(page, 3, "https://w")[0].count() == 0
+
+    bodies = [
+        ("1", '<a href="/handle/9">KOLEKSI</a><a href="/handle/2">2. PENGGAL KEDUA</a>'),
+        ("2", '<a href="/handle/3">MESYUARAT&#x20;KETIGA (2031)</a><a href="/handle/4">MESYUARAT LAIN</a>'),
+        ("3", '<a href="/bitstream/1/DR1-04022031.pdf?s=1">x</a><a href="/bitstream/2/DR1-04022031.PINDAAN05022031.pdf">x</a><a href="/bitstream/3/aneh%20nama.pdf">x</a>'),
+        ("4", '<a href="/bitstream/4/DR9-01012031.pdf">x</a>'),
+    ]
+    links = html.links(spark.createDataFrame(bodies, "page string, html string"), "page")
+    records, unparsed = crawl.repository(links, "1", 15, "https://r")
+    assert [(r.doc_id, r.penggal, r.mesyuarat, r.bil, r.amended_on, r.listing_url) for r in records.collect()] == [("DR-2031-02-04", 2, 3, 1, "2031-02-05", "https://r/handle/3")]
+    assert [r.title for r in unparsed.collect()] == ["MESYUARAT KETIGA (2031)"]
+
+
+def test_digests_of_groups(spark):
+    import hashlib
+
+    from rostra.operators import index
+
+    rows = [(g, k, f"t{k}") for g in ("a", "b", None) for k in (3, 1, 2)] + [("a", 1, "s"), ("c", 9, None)]
+    own = spark.createDataFrame(rows, "g string, k int, t string")
+    want = {}
+    for g in {g for g, _, _ in rows}:
+        text = "\n".join(f"x\t{t}" if t else "x" for _, t in sorted((k, t or "") for h, k, t in rows if h == g))
+        want[g] = hashlib.sha256(text.encode()).hexdigest()[:16]
+    assert {r.g: r.digest for r in index.digest([F.lit("x"), F.col("t")], ["g"], own, ["k"]).collect()} == want

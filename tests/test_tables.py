@@ -266,3 +266,32 @@ def test_fuzzy_match_finds_all_alike_names(spark, sf):
     alike = lambda a, b: min(len({*a.split()}), len({*b.split()})) >= 2 and ({*a.split()} <= {*b.split()} or {*b.split()} <= {*a.split()}) or SequenceMatcher(None, a, b).ratio() >= names.RATIO
     want = {(own[brand, a], own[other, b]) for brand, a in own for other, b in own if brand == other and a < b and alike(a.lower(), b.lower())}
     assert set(map(tuple, QUERIES["fuzzy_match"](spark, sf).collect())) == want and want
+
+
+def test_evaluation_in_one_call(spark, tmp_path):
+    from rostra.plans import evaluation
+
+    words = ["cukai tanah naik", "jalan raya rosak", "harga minyak dunia", "air bersih kampung"]
+    chunks = spark.createDataFrame([(f"t{k}#{p}", f"t{k}", 20240101 + k, f"{w} bahagian {p}", "s1" if k < 2 else "s2", "motion") for k, w in enumerate(words) for p in range(2)], "chunk_id string, turn_id string, sitting_day int, text string, speaker_id string, section string")
+    engine = Engine(chunks, vectors=providers.embed(chunks.select("chunk_id", "text"), providers.hashing_embedder).drop("text"), parties_table=spark.createDataFrame([("s2", "P")], "speaker_id string, party string"))
+    none = (None, None, None, None)
+    golden = spark.createDataFrame(
+        [
+            ("a", "ms", "fact", "cukai tanah", none, ["t0"], [], "", True),
+            ("b", "en", "fact", "what about clean water", none, ["t3"], [], "", True),
+            ("c", "ms", "fact", "jalan raya", (None, None, None, "P"), ["t1"], [], "", True),
+            ("d", "ms", "none", "zzz qqq", (None, None, None, "no such party"), [], [], "", False),
+        ],
+        schemas.GOLDEN,
+    )
+    out, text = evaluation.run(engine, golden, providers.hashing_embedder, lambda t: "air bersih", path=str(tmp_path / "runs"))
+    by = {(r.experiment, r.slice, r.value): r for r in out.collect()}
+    assert {e for e, _, _ in by} == {e.name for e in evaluation.EXPERIMENTS} and set(v for _, s, v in by if s == "lang") == {"ms", "en"}
+    assert by["sparse", "lang", "ms"].recall == 0.5 and by["sparse", "lang", "ms"].refusal == 1.0  # c's filter leaves its turn out
+    assert by["sparse", "lang", "en"].recall == 0.0 and by["hybrid_rerank_translate", "lang", "en"].mrr == 1.0
+    assert by["sparse", "all", "all"].n == 4 and by["sparse", "all", "all"].p95_ms >= by["sparse", "all", "all"].p50_ms > 0
+    rows = {r.query_id: r for r in spark.read.json(str(tmp_path / "runs" / "sparse")).collect()}
+    assert rows["a"].ranked[0] == "t0" and len(set(rows["a"].ranked)) == len(rows["a"].ranked) and rows["d"].not_found
+    assert text.count("## ") == 5 and "| all | all | 4 |" in text
+    with pytest.raises(ValueError, match="empty"):
+        evaluation.run(engine, golden.limit(0), providers.hashing_embedder)
