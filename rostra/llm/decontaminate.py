@@ -10,10 +10,11 @@ them is a sufficient prefix: the rarest, by its count over all documents, is the
 3. Candidates: positions of prefix shingles, each with the WINDOW - 1 words on either side, meet their windows by an equi-join.
 4. Bounds: the window must begin at or after word 0 and end at or before the last. Verification compares all its words.
 
-The bit tables have BITS bits whatever the benchmark's size; where they fill up, more positions reach the joins, none is
-lost. Documents are read twice and never shuffled; what moves is contexts of prefix shingles.
+A bit table has sixteen bits or more for each of the benchmark's shingles, from 2**BITS up to 2**MOST_BITS in all (2 MB); beyond a
+million shingles it fills up and more positions reach the joins, none is lost. Documents are read twice and never shuffled; what moves
+is contexts of prefix shingles.
 
-Null and empty texts have no words and are never contaminated. Null and wordless items have no window; a repeated item id counts once. Equal
+Null and empty texts have no words and are never contaminated; very long ones are read whole, one row each. Null and wordless items have no window; a repeated item id counts once. Equal
 documents are judged alike. Empty tables give empty or clean results. Other columns may have any names.
 """
 
@@ -27,7 +28,8 @@ from rostra.llm.staging import stage
 WINDOW, SHINGLE = 13, 3
 #: A document is contaminated if this share (one in SHARE words) or more of its words is hit.
 SHARE = 20
-BITS = 20
+#: Bits of a bit table, as powers of two: the least and the most.
+BITS, MOST_BITS = 20, 24
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,22 +61,27 @@ def _hash(words: str, at: str, m: int) -> str:
     return f"xxhash64({', '.join(f'{words}[{at} + {k}]' for k in range(m))})"
 
 
-def _table(shingles: DataFrame, m: int) -> str:
-    """SQL of a constant array of longs: the bits (two for each) of the shingles of m words. At most 2**BITS / 64 rows reach the driver."""
+def _table(shingles: DataFrame, m: int, bits: int) -> str:
+    """SQL of a constant array of longs: the bits (two for each) of the shingles of m words. At most 2**bits / 64 rows reach the driver."""
     hashed = shingles.where(F.col("m") == m).select(F.split("g", " ").alias("w")).distinct().selectExpr(f"{_hash('w', '0', m)} AS h")
-    bits = hashed.select(F.explode(F.array(F.expr(f"h & {(1 << BITS) - 1}"), F.expr(f"shiftright(h, {BITS}) & {(1 << BITS) - 1}"))).alias("bit"))
-    rows = bits.selectExpr("cast(shiftright(bit, 6) AS int) AS word", "cast(bit & 63 AS int) AS b").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).collect()
-    table = [0] * ((1 << BITS) // 64)
+    spots = hashed.select(F.explode(F.array(F.expr(f"h & {(1 << bits) - 1}"), F.expr(f"shiftright(h, {bits}) & {(1 << bits) - 1}"))).alias("bit"))
+    rows = spots.selectExpr("cast(shiftright(bit, 6) AS int) AS word", "cast(bit & 63 AS int) AS b").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).collect()
+    table = [0] * ((1 << bits) // 64)
     for r in rows:
         table[r.word] = r.v
     return f"cast(split('{','.join(map(str, table))}', ',') AS array<bigint>)"
 
 
+def _bits(n_shingles: int) -> int:
+    """Bits of a table for that many distinct shingles, as a power of two."""
+    return min(MOST_BITS, max(BITS, (16 * n_shingles - 1).bit_length()))
+
+
 def _positions(shingles: DataFrame, kinds: list[int]) -> Column:
     """array<struct<m, at>>: the positions of a row's words whose shingle may be among the shingles."""
-    parts = []
+    parts, bits = [], _bits(shingles.select("g").distinct().count())
     for m in kinds:
-        table, low, high = _table(shingles, m), f"(h & {(1 << BITS) - 1})", f"(shiftright(h, {BITS}) & {(1 << BITS) - 1})"
+        table, low, high = _table(shingles, m, bits), f"(h & {(1 << bits) - 1})", f"(shiftright(h, {bits}) & {(1 << bits) - 1})"
         test = " AND ".join(f"(shiftright({table}[cast(shiftright({b}, 6) AS int)], cast({b} & 63 AS int)) & 1) = 1" for b in (low, high))
         hashes = f"transform(sequence(0, size(words) - {m}), i -> {_hash('words', 'i', m)})"
         flags = f"filter(transform({hashes}, (h, i) -> CASE WHEN {test} THEN named_struct('m', {m}, 'at', i) END), x -> x IS NOT NULL)"

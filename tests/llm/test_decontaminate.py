@@ -46,9 +46,10 @@ def test_against_brute_force(spark):
     check(spark, texts(), ITEMS)
 
 
-@pytest.mark.parametrize("bits", [6, D.BITS])
-def test_random_and_full_tables(spark, monkeypatch, bits):
-    monkeypatch.setattr(D, "BITS", bits)
+@pytest.mark.parametrize("least, most", [(6, 6), (6, 24), (D.BITS, D.MOST_BITS)])
+def test_random_and_full_tables(spark, monkeypatch, least, most):
+    monkeypatch.setattr(D, "BITS", least)
+    monkeypatch.setattr(D, "MOST_BITS", most)
     rng = random.Random(4)
     few = [f"s{k}" for k in range(6)]
     line = lambda n: " ".join(rng.choice(few) if rng.random() < 0.6 else f"r{rng.randrange(40)}" for _ in range(n))
@@ -68,3 +69,14 @@ def test_drop_and_empty(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _, _, _, bad in brute(texts(), ITEMS) if not bad), key=str)
     check(spark, texts(), [])
     check(spark, [], ITEMS)
+
+
+def test_bits_grow_with_the_benchmark():
+    assert [D._bits(n) for n in (0, 1, 1 << 16, (1 << 16) + 1, 1 << 19, 1 << 30)] == [20, 20, 20, 21, 23, 24]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    own = [f"v{rng.randrange(2000)}" for _ in range(30_000)]
+    item = " ".join(own[29_900:29_960])
+    check(spark, [(1, " ".join(own)), (2, " ".join(own[29_890:29_980]))], [(1, item), (2, " ".join(own[100:113]))])
