@@ -312,7 +312,7 @@ def index_actions(spark, sf_dir):
 @query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: round(x * 127)::BIGINT))::BIGINT AS total FROM embeddings")
 def quantised(spark, sf_dir):
     own = files.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
-    return own.select("vec_id", F.aggregate("embedding", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return own.select("vec_id", F.aggregate("embedding", F.lit(None).cast("long"), lambda a, x: F.coalesce(a + x, a, x.cast("long"))).alias("total"))
 
 
 _WHOLE = [

@@ -70,8 +70,8 @@ def public_seed(records: DataFrame, allowed: list[str]) -> DataFrame:
 
 
 def quantised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """Unit vectors as 8-bit integers."""
-    return vectors.withColumn(column, F.transform(column, lambda x: F.round(x * 127).cast("tinyint")))
+    """Unit vectors as 8-bit integers: the product is of the elements' own type (an integer factor would make it a double, whose halves round elsewhere)."""
+    return vectors.withColumn(column, F.transform(column, lambda x: F.round(x * F.lit(127).cast("float")).cast("tinyint")))
 
 
 def overlaid(base: dict, over: dict) -> dict:

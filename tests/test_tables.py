@@ -295,3 +295,20 @@ def test_evaluation_in_one_call(spark, tmp_path):
     assert text.count("## ") == 5 and "| all | all | 4 |" in text
     with pytest.raises(ValueError, match="empty"):
         evaluation.run(engine, golden.limit(0), providers.hashing_embedder)
+
+
+def test_quantised_rounds_as_sql(spark, tmp_path):
+    """Elements whose product with 127 is a half in single precision only, nulls and empty vectors."""
+    import duckdb
+    import numpy as np
+
+    from rostra.queries import QUERIES, SQL
+
+    near = (np.arange(-126.5, 127) / 127).astype("f4")
+    odd = [x for v in near for x in (np.nextafter(v, np.float32(-2)), v, np.nextafter(v, np.float32(2))) if np.round(abs(x) * np.float32(127) * 2) % 2]
+    rows = [(k, [float(x)]) for k, x in enumerate(odd)] + [(1000, [0.5, None]), (1001, []), (1002, [None]), (1003, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [(r.vec_id, r.total) for r in QUERIES["quantised"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(duck.execute(SQL["quantised"]).fetchall())
