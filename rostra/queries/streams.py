@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostra.plans import shared
 from rostra.queries.registry import query, read
 from rostra.streaming import limits
 
@@ -39,24 +40,34 @@ def sessions(spark, sf_dir):
     return own.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream of the available files gives, by way of a memory table (for tables of test size)."""
+def _drained(stream: DataFrame) -> DataFrame:
+    """All that a stream of the available files gives in complete mode, by way of a memory table: for results of a row a day, they stay with the driver."""
     name = f"s{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    run = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     return stream.sparkSession.table(name)
 
 
+def _appended(stream: DataFrame) -> DataFrame:
+    """All that a stream of the available files appends, by way of files in the shared folder, where its state is too: no row passes the driver."""
+    spark = stream.sparkSession
+    path, log = shared.new_path(spark, "stream"), shared.new_path(spark, "stream-log")
+    run = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    shared.remove(spark, log)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def _stream(spark, sf_dir):
-    schema = read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """events as a stream: one file or a folder of them."""
+    return spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 @query("SELECT ts::DATE AS day, count(*) AS n, greatest(count(*) - 300, 0) AS over FROM events GROUP BY 1")
 def stream_daily_cap(spark, sf_dir):
-    return _drained(limits.daily(_stream(spark, sf_dir), cap=300), "complete")
+    return _drained(limits.daily(_stream(spark, sf_dir), cap=300))
 
 
 @query()
 def stream_rate_limit(spark, sf_dir):
-    return _drained(limits.stream_limited(_stream(spark, sf_dir), most=2, window=3600), "append")
+    return _appended(limits.stream_limited(_stream(spark, sf_dir), most=2, window=3600))

@@ -312,3 +312,22 @@ def test_quantised_rounds_as_sql(spark, tmp_path):
     duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     got = [(r.vec_id, r.total) for r in QUERIES["quantised"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(duck.execute(SQL["quantised"]).fetchall())
+
+
+def test_stream_rate_limit_keeps_rows_off_the_driver(spark, sf, tmp_path):
+    """The rows of a stream come from files in the shared folder, not from a table in the driver's memory; events may be a folder of files."""
+    from rostra.queries import QUERIES
+
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts", "event_type", "value")
+    rows = events.union(events.selectExpr("event_id + 100000", "user_id", "ts + INTERVAL 10 MINUTES", "event_type", "value")).union(events.selectExpr("event_id + 200000", "user_id", "ts + INTERVAL 20 MINUTES", "event_type", "value"))
+    rows.coalesce(2).write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["stream_rate_limit"](spark, str(tmp_path))
+    assert found.inputFiles()
+    want, last = {}, {}
+    for t, event, user in sorted((r.t / 1e6, r.event_id, r.user_id) for r in rows.selectExpr("event_id", "user_id", "unix_micros(cast(ts AS timestamp)) AS t").collect()):
+        want[event] = last.setdefault(user, limits.Limiter(2, 3600)).accepts(t)
+    got = found.collect()
+    assert {r.event_id: r.accepted for r in got} == want and len(got) == len(want) and 0 < sum(want.values()) < len(want)
+    assert all((r.reason == "per_minute") != r.accepted for r in got)
+    rows.limit(0).write.parquet(str(tmp_path / "none" / "events.parquet"))
+    assert QUERIES["stream_rate_limit"](spark, str(tmp_path / "none")).count() == 0
