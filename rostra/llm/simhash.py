@@ -21,13 +21,14 @@ smallest of its component unless all are null. An empty table gives an empty res
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostra.llm.staging import bound_batches, drop, settle, stage
@@ -253,6 +254,23 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return int(np.searchsorted(both, low[-1], side="right")) / len(low)
 
 
+def overlaps(sketches: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sketches have in common, by products of 0/1 matrices over the hashes that two or more hold."""
+    rows = np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
+    values, at, counts = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    wanted = counts[at] > 1
+    rows, columns = rows[wanted], place[at[wanted]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns, total = rows[order], columns[order], np.zeros((len(sketches), len(sketches)), np.float32)
+    for low in range(0, int((counts > 1).sum()), 4096):
+        a, z = np.searchsorted(columns, [low, low + 4096])
+        part = np.zeros((len(sketches), 4096), np.float32)
+        part[rows[a:z], columns[a:z] - low] = 1
+        total += part @ part.T
+    return total
+
+
 def _sketched(rows: DataFrame) -> DataFrame:
     """rows with fp, keys and sketch of each whole text, in one pass."""
     bound_batches(rows.sparkSession)
@@ -267,9 +285,31 @@ def _sketched(rows: DataFrame) -> DataFrame:
     return rows.withColumn("made", F.arrow_udf(run, "struct<fp: bigint, keys: array<bigint>, sketch: binary>")(F.col("text"))).select("uid", "doc_id", "made.*")
 
 
-def similar_links(members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
-    """From one shard's (uid, fingerprint, sketch): links (uid, first uid of its group) that connect all similar pairs its BK-tree finds."""
-    up, tree, of = list(range(len(members))), None, {}
+def similar_links(members: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """From one shard's (uid, label, fingerprint, sketch): links (uid, first uid of its group) that connect all similar pairs its BK-tree finds.
+
+    Texts of one label are known to be connected: they aren't compared, and no link between them is given.
+    """
+    sizes = Counter(label for _, label, _, _ in members)
+    members = sorted(members, key=lambda m: -sizes[m[1]])  # the largest label comes first and needs no search
+    first: dict[int, int] = {}
+    up, tree, of = [first.setdefault(label, k) for k, (_, label, _, _) in enumerate(members)], None, {}
+    common, asked, alone = None, 0, sum(k == 0 for k in up)
+
+    def alike(a: np.ndarray, b: np.ndarray, j: int, k: int) -> bool:
+        """similarity() >= SIMILAR; a shard that asks often counts what all its sketches have in common at once."""
+        nonlocal common, asked
+        asked += 1
+        if common is None and asked > 4 * len(members):
+            common = overlaps([m[3] for m in members])
+        if common is not None:
+            if max(len(a), len(b)) < SKETCH:
+                both = int(common[j, k])
+                union = len(a) + len(b) - both
+                return not union or both / union >= SIMILAR
+            if common[j, k] < SIMILAR * SKETCH:
+                return False
+        return similarity(a, b) >= SIMILAR
 
     def top(k: int) -> int:
         while up[k] != k:
@@ -277,21 +317,21 @@ def similar_links(members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int,
             k = up[k]
         return k
 
-    for k, (_, value, own) in enumerate(members):
+    for k, (_, _, value, own) in enumerate(members):
         if tree is None:
             tree = BKTree(value)
-        for place in tree.near(value, NEAR_BITS):
+        for place in tree.near(value, NEAR_BITS) if k >= alone else ():
             for other in of.get(tree.values[place], ()):
                 a, b = top(other), top(k)
-                if a != b and similarity(members[other][2], own) >= SIMILAR:
+                if a != b and alike(members[other][3], own, other, k):
                     up[max(a, b)] = min(a, b)
         tree.add(value)
         of.setdefault(value, []).append(k)
-    return [(members[k][0], members[top(k)][0]) for k in range(len(members)) if top(k) != k]
+    return [(members[k][0], members[top(k)][0]) for k in range(len(members)) if members[top(k)][1] != members[k][1]]
 
 
 def _similar_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (base, shard, uid, fp, sketch) in order of shard, the links (base, u, v) within each shard."""
+    """From rows (base, shard, uid, label, fp, sketch) in order of shard, the links (base, u, v) within each shard."""
     held, now, out = [], None, []
 
     def close() -> None:
@@ -305,47 +345,99 @@ def _similar_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays(list(rows), names=["base", "u", "v"])
 
     for batch in batches:
-        for base, shard, uid, fp, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for base, shard, uid, label, fp, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (base, shard) != now:
                 close()
                 now = (base, shard)
-            held.append((uid, fp & _ALL, np.frombuffer(data, "<u4")))
+            held.append((uid, label, fp & _ALL, np.frombuffer(data, "<u4")))
         yield taken()
     close()
     yield taken()
 
 
+def _searched(places: DataFrame, classes: DataFrame) -> DataFrame:
+    """(base, u, v): links found in the shards of places (base, shard, uid, label), each held by a task as a whole."""
+    rows = places.join(classes.select("uid", "fp", "sketch"), "uid").select("base", "shard", "uid", "label", "fp", "sketch")
+    return stage(rows.repartition("base", "shard").sortWithinPartitions("base", "shard", "uid").mapInArrow(_similar_edges, "base long, u long, v long"), "near")
+
+
 def _shards(classes: DataFrame) -> DataFrame:
-    """(base, uid, size): the min-hash shards of two texts or more; one over NEAR_SHARD is split by each other min-hash too."""
+    """(base, uid, size): the min-hash shards of two texts or more."""
+    rows = classes.select("uid", F.posexplode("keys").alias("way", "key")).select("uid", F.xxhash64("way", "key").alias("base"))
+    return rows.join(rows.groupBy("base").agg(F.count("*").alias("size")).where("size > 1"), "base").select("base", "uid", "size")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (uid, sketch), a row (uid, n, token) for each of a sketch's n hashes."""
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            uids, sketches = (c.slice(at, 256).to_pylist() for c in batch.columns)
+            sizes = [len(x) // 4 for x in sketches]
+            tokens = np.frombuffer(b"".join(sketches), "<u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(uids, np.int64), sizes)), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(tokens)], names=["uid", "n", "token"])
 
-    def sized(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("base").agg(F.count("*").alias("size")).where("size > 1"), "base")
 
-    ways = classes.select("uid", "keys", F.posexplode("keys").alias("way", "key"))
-    first = sized(ways.select("uid", "keys", "way", F.xxhash64("way", "key").alias("base")))
-    hot = first.where(F.col("size") > NEAR_SHARD).select("uid", "way", "base", F.posexplode("keys").alias("other", "key")).where("way <> other")
-    narrower = sized(hot.select("uid", F.xxhash64("base", "other", "key").alias("base")))
-    return first.where(F.col("size") <= NEAR_SHARD).select("base", "uid", "size").union(narrower.select("base", "uid", "size"))
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(uid, token): each text's rarest hashes, so many that any two texts (uid, sketch) of SIMILAR or more have one in common.
+
+    Such sketches share SIMILAR of the larger one at least, hence one of the first n - SIMILAR * n + 1 hashes of each in any order common to all.
+    The order is by rarity among the texts; a hash of one text takes a place there but links nothing.
+    """
+    tokens = texts.select("uid", "sketch").mapInArrow(_tokens, "uid long, n long, token long")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = tokens.join(shared, "token").groupBy("uid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    places = F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9) + 1 - (F.col("n") - F.size("own"))
+    return own.select("uid", F.explode(F.slice("own", 1, F.greatest(places, F.lit(0)).cast("int"))).alias("at")).select("uid", F.col("at.token").alias("token"))
+
+
+def _mixed(places: DataFrame, key: str) -> DataFrame:
+    """places (key, uid, label) of the keys whose texts have more than one label, with their number as size."""
+    many = places.groupBy(key).agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select(key, "size")
+    return places.join(many, key)
+
+
+def _paired(places: DataFrame) -> DataFrame:
+    """(base, shard, uid, label): places (base, uid, label, size) in shards of at most NEAR_SHARD texts that hold every pair of different labels of a base.
+
+    A larger base is cut into blocks of half a shard in order of label, and each two of them make a shard, unless both hold one and the same label.
+    """
+    small = places.where(F.col("size") <= NEAR_SHARD).select("base", F.lit(0).cast("long").alias("shard"), "uid", "label")
+    order = F.row_number().over(Window.partitionBy("base").orderBy("label", "uid")) - 1
+    cut = places.where(F.col("size") > NEAR_SHARD).select("base", "uid", "label", F.floor(order / max(NEAR_SHARD // 2, 1)).alias("block"))
+    blocks = cut.groupBy("base", "block").agg(F.min("label").alias("a"), F.max("label").alias("z"))
+    other = blocks.select("base", F.col("block").alias("block2"), F.col("a").alias("a2"), F.col("z").alias("z2"))
+    pairs = blocks.join(other, "base").where("block <= block2 AND (a <> z2 OR z <> a2)")
+    sides = pairs.select("base", F.xxhash64("block", "block2").alias("shard"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    return small.union(cut.join(sides, ["base", "block"]).select("base", "shard", "uid", "label"))
 
 
 def near_links(classes: DataFrame) -> DataFrame:
-    """(u, v): verified links among distinct texts (uid, fp, keys, sketch).
+    """(u, v): verified links that connect all similar texts among distinct ones (uid, fp, keys, sketch) that share a min-hash.
 
-    A shard still over NEAR_SHARD after its split is dealt into chunks; texts that linked to a smaller one leave, and those that stay meet
-    again in new chunks, until a shard is one chunk (all its pairs are then searched) or a round links nothing.
+    A shard over NEAR_SHARD is dealt into chunks first; texts that linked to a smaller one leave, and those that stay meet again in new
+    chunks, while that makes a shard smaller by a tenth. This only names most groups. Then every pair of a large shard's texts that aren't connected yet
+    is searched, by way of the hashes that similar sketches can't but share (_prefixes), in as many shards as it takes (_paired).
     """
     places, found, turn = stage(_shards(classes), "shards"), None, 0
+    hot = places.where(F.col("size") > NEAR_SHARD).select("base", "uid")
     while True:
         chunk = F.pmod(F.xxhash64(F.lit(turn), "uid"), F.ceil(F.col("size") / NEAR_SHARD))
-        rows = places.select("base", "uid", chunk.alias("shard")).join(classes.select("uid", "fp", "sketch"), "uid").select("base", "shard", "uid", "fp", "sketch")
-        new = stage(rows.repartition("base", "shard").sortWithinPartitions("base", "shard", "uid").mapInArrow(_similar_edges, "base long, u long, v long"), "near")
+        new = _searched(places.select("base", chunk.alias("shard"), "uid", F.col("uid").alias("label")), classes)
         found = new.select("u", "v") if found is None else found.union(new.select("u", "v"))
         crowded = places.where(F.col("size") > NEAR_SHARD).select("base", "uid")
         rest = crowded.join(new.select("base", F.col("u").alias("uid")), ["base", "uid"], "left_anti")
         left = stage(rest.join(rest.groupBy("base").agg(F.count("*").alias("size")).where("size > 1"), "base").select("base", "uid", "size"), "shards")
-        if left.isEmpty() or left.count() == crowded.count():
-            return found.distinct()
+        if left.isEmpty() or 10 * left.count() > 9 * crowded.count():
+            break
         places, turn = left, turn + 1
+    if hot.isEmpty():
+        return found.distinct()
+    roots = stage(components(found.distinct()), "roots")
+    known = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    labelled = hot.join(roots, hot["uid"] == roots["node"], "left").select("base", "uid", F.coalesce("root", "uid").alias("label"))
+    open_ = stage(_mixed(labelled, "base").select("uid", "label").distinct(), "open")
+    shared = _prefixes(open_.join(classes, "uid").select("uid", "sketch")).join(open_, "uid").select(F.col("token").alias("base"), "uid", "label")
+    return known.union(_searched(_paired(stage(_mixed(shared, "base"), "prefixes")), classes).select("u", "v")).distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -353,7 +445,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Two texts are near copies if the Jaccard similarity of their distinct NEAR_WORDS-word shingles is SIMILAR or more. They are searched by
     min-hash shards: two such texts share one of the KEYS min-hashes in 99.2 of 100 cases or more. Each shard is a BK-tree of op9's fingerprints searched within
-    NEAR_BITS, and what it finds is verified by shingles: all of them below SKETCH, the SKETCH smallest hashes (a standard error of 0.0125) beyond.
+    NEAR_BITS (every pair of a large shard too, see near_links), and what it finds is verified by shingles: all of them below SKETCH, the SKETCH smallest hashes (a standard error of 0.0125) beyond.
     Null and empty texts are copies of each other, so one of them stays; of repeated rows one stays. A very long text is one sketch of at most SKETCH
     hashes. An empty table gives an empty result. Columns may have any names but ``__near_uid``.
     """

@@ -144,3 +144,56 @@ def test_near_copies_in_hot_shards(spark, monkeypatch):
     rows += [(400 + k, _edited(rng, wide, 5)) for k in range(6)] + [(500, _edited(rng, wide, 600)), (None, "z")]
     got = S.keep_one(docs(spark, rows)).collect()
     assert sorted((r.doc_id for r in got), key=str) == _kept(rows)
+
+
+def _hashes(rng, n):
+    return [rng.getrandbits(32) for _ in range(n)]
+
+
+def _sets():
+    """Chains, near copies and unlike sets around common hashes, sets of few common hashes, and sets cut to SKETCH."""
+    rng = random.Random(11)
+    common, line, few, wide = _hashes(rng, 40), _hashes(rng, 300), _hashes(rng, 30), _hashes(rng, 2500)
+    found = [common + _hashes(rng, 60) for _ in range(40)]
+    found += [s[:97] + _hashes(rng, 3) for s in found[:12]]
+    found += [line[5 * k : 5 * k + 100] for k in range(40)]  # only neighbours are similar
+    found += [rng.sample(few, 18) for _ in range(40)] + [rng.sample(few, 27) for _ in range(6)]
+    found += [wide[40 * k : 40 * k + 1500] for k in range(5)] + [_hashes(rng, 1)]
+    return [np.unique(np.array(s, "<u4"))[: S.SKETCH] for s in found]
+
+
+def test_overlaps():
+    sets = _sets() + [np.array([], "<u4")]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert ((S.overlaps(sets) == want) | np.eye(len(sets), dtype=bool)).all()
+
+
+@pytest.mark.parametrize("common_keys", [1, 3])
+def test_near_links_lose_no_pair_of_a_hot_shard(spark, monkeypatch, common_keys):
+    """All texts share one min-hash (or all), in shards far over their size: groups are those of all pairs."""
+    monkeypatch.setattr(S, "NEAR_SHARD", 8)
+    sets = _sets()
+    order = random.Random(2).sample(range(len(sets)), len(sets))  # a uid tells nothing about a group
+    rows = [(uid, uid & 7, [0] * common_keys + [uid * 3 + k for k in range(common_keys, 3)], bytearray(sets[at].tobytes())) for uid, at in enumerate(order)]
+    up = list(range(len(rows)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for k, a in enumerate(order):
+        for j in range(k):
+            if S.similarity(sets[order[j]], sets[a]) >= S.SIMILAR:
+                up[max(top(j), top(k))] = min(top(j), top(k))
+    links = S.near_links(spark.createDataFrame(rows, "uid long, fp long, keys array<long>, sketch binary"))
+    roots = {r.node: r.root for r in S.components(links).collect()}
+    assert [roots.get(k, k) for k in range(len(rows))] == [top(k) for k in range(len(rows))]
+    assert 10 < len({top(k) for k in range(len(rows))}) < len(rows) - 50
+
+
+def test_similar_links_skip_known_labels():
+    sets = _sets()[52:60]  # a chain
+    members = [(k, 0 if k < 5 else k, 0, s) for k, s in enumerate(sets)]
+    assert S.similar_links(members) == [(k, 0) for k in (5, 6, 7)]
+    assert S.similar_links([(k, 0, 0, s) for k, s in enumerate(sets)]) == []
