@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostra.llm.staging import stage
+from rostra.llm.staging import scratch, settle, stage
 
 WINDOW, SHINGLE = 13, 3
 #: A document is contaminated if this share (one in SHARE words) or more of its words is hit.
@@ -131,7 +131,11 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns, without the contaminated texts."""
-    bad = report(docs, benchmark).where("contaminated").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    """docs, all columns, without the contaminated texts. Of what is staged only their hashes stay."""
+    settle(docs.sparkSession)
+    with scratch(docs.sparkSession) as own:
+        bad = stage(report(docs, benchmark).where("contaminated").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "contaminated")
+        own.remove(bad.staged_path)
+    settle(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     return docs.join(bad, (F.xxhash64(text) == F.col("__k1")) & (F.xxhash64(F.lit(1), text) == F.col("__k2")), "left_anti")

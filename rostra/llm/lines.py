@@ -16,7 +16,7 @@ overlapping copies join into maximal runs, whatever their length. The first copy
 
 Null texts have one empty line, like empty ones. A document may lose all its lines; it stays with an empty text. Repeated rows are copies of each
 other, in an order of their own. Very long texts are split into lines like any other; no task holds more than one. Empty tables give empty results.
-Columns of docs may have any names, those that begin with ``__line_`` excepted.
+Columns of docs may have any names, those that begin with ``__line_`` or ``__member_`` excepted.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostra.llm.members import among, members
 from rostra.llm.staging import drop, settle, stage
 
 MIN_LINES, MIN_CHARS = 4, 200
@@ -90,9 +91,11 @@ def _cut(docs: DataFrame, **options) -> DataFrame:
     numbered = _numbered(docs)
     gone = deletions(numbered, **options)
     settle(docs.sparkSession)
-    # One plan at every size: texts and deletions meet by key, however few the deletions are.
-    joined = numbered.join(gone.hint("merge"), "__line_uid", "left")
-    joined = joined.withColumn("__line_all", F.split(F.coalesce("text", F.lit("")), "\n"))
+    # One plan at every size: texts that lose lines meet their deletions by key, however few these are. The others stay where they are.
+    losing, columns = members(gone, "__line_uid"), [*numbered.columns, "__line_gone"]
+    some = among(numbered, "__line_uid", losing).join(gone.hint("merge"), "__line_uid").select(columns)
+    rest = among(numbered, "__line_uid", losing, inside=False).withColumn("__line_gone", F.lit(None).cast("array<int>"))
+    joined = some.union(rest).withColumn("__line_all", F.split(F.coalesce("text", F.lit("")), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("__line_all") - 1), "__line_gone")
     return joined.withColumn("__line_kept", F.when(F.col("__line_gone").isNull(), F.col("__line_all")).otherwise(F.transform(left, lambda i: F.get("__line_all", i))))
 

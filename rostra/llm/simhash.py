@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostra.llm.staging import bound_batches, drop, settle, stage
+from rostra.llm.members import among, members
+from rostra.llm.staging import bound_batches, scratch, settle, stage
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Largest shard that is searched without splitting it further.
@@ -367,6 +368,50 @@ def _shards(classes: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("base").agg(F.count("*").alias("size")).where("size > 1"), "base").select("base", "uid", "size")
 
 
+def _neighbours(values: list[int]) -> list[int]:
+    """Positions of the fingerprints with another, or an equal one, within NEAR_BITS; found by a BK-tree."""
+    if len(values) == 2:
+        return [0, 1] if (values[0] ^ values[1]).bit_count() <= NEAR_BITS else []
+    tree, hit = BKTree(values[0]), set()
+    for value in values[1:]:
+        if near := tree.near(value, NEAR_BITS):
+            hit.add(value)
+            hit.update(tree.values[at] for at in near)
+        tree.add(value)
+    return [k for k, value in enumerate(values) if value in hit]
+
+
+def _near_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (base, uid, fp) in order of base, the (base, uid) of those with a neighbour in their base; a base may reach over batches."""
+    held = [np.empty(0, np.int64)] * 3
+
+    def near(columns: list[np.ndarray]) -> pa.RecordBatch:
+        bases, uids, fps = columns
+        bounds = [0, *(np.flatnonzero(bases[1:] != bases[:-1]) + 1).tolist(), len(bases)]
+        unsigned = fps.view(np.uint64).tolist()
+        found = np.array([a + k for a, z in zip(bounds, bounds[1:], strict=False) if z - a > 1 for k in _neighbours(unsigned[a:z])], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(bases[found]), pa.array(uids[found])], names=["base", "uid"])
+
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+        last = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else []
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield near([h[:cut] for h in held])
+            held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield near(held)
+
+
+def _near_shards(classes: DataFrame) -> DataFrame:
+    """(base, uid, size): the min-hash shards, staged; those of at most NEAR_SHARD texts without the texts that no other's fingerprint is near to."""
+    places = stage(_shards(classes), "shards")
+    rows = places.where(F.col("size") <= NEAR_SHARD).join(classes.select("uid", "fp"), "uid").select("base", "uid", "fp")
+    near = stage(rows.repartition("base").sortWithinPartitions("base").mapInArrow(_near_places, "base long, uid long"), "shards")
+    left = near.join(near.groupBy("base").agg(F.count("*").alias("size")), "base").select("base", "uid", "size")
+    return stage(left.union(places.where(F.col("size") > NEAR_SHARD)), "shards")
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (uid, sketch), a row (uid, n, token) for each of a sketch's n hashes."""
     for batch in batches:
@@ -414,11 +459,13 @@ def _paired(places: DataFrame) -> DataFrame:
 def near_links(classes: DataFrame) -> DataFrame:
     """(u, v): verified links that connect all similar texts among distinct ones (uid, fp, keys, sketch) that share a min-hash.
 
+    Fingerprints are searched first, alone: the sketches that are verified, a kilobyte or more each, are moved only where a shard has near ones (or is large).
     A shard over NEAR_SHARD is dealt into chunks first; texts that linked to a smaller one leave, and those that stay meet again in new
     chunks, while that makes a shard smaller by a tenth. This only names most groups. Then every pair of a large shard's texts that aren't connected yet
     is searched, by way of the hashes that similar sketches can't but share (_prefixes), in as many shards as it takes (_paired).
     """
-    places, found, turn = stage(_shards(classes), "shards"), None, 0
+    places, found, turn = _near_shards(classes), None, 0
+    classes = stage(among(classes.select("uid", "fp", "sketch"), "uid", members(places, "uid")), "asked")
     hot = places.where(F.col("size") > NEAR_SHARD).select("base", "uid")
     while True:
         chunk = F.pmod(F.xxhash64(F.lit(turn), "uid"), F.ceil(F.col("size") / NEAR_SHARD))
@@ -440,6 +487,21 @@ def near_links(classes: DataFrame) -> DataFrame:
     return known.union(_searched(_paired(stage(_mixed(shared, "base"), "prefixes")), classes).select("u", "v")).distinct()
 
 
+def _kept(numbered: DataFrame) -> DataFrame:
+    """The __near_uid that keep_one() keeps, as a set."""
+    with scratch(numbered.sparkSession) as own:
+        rows = stage(_sketched(numbered.select(F.col("__near_uid").alias("uid"), "doc_id", "text")), "sketches")
+        named = rows.select("uid", "doc_id", F.xxhash64("sketch").alias("h1"), F.xxhash64(F.lit(1), "sketch").alias("h2"))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("least")
+        texts = stage(named.groupBy("h1", "h2").agg(F.min("uid").alias("uid"), least), "texts")
+        distinct = among(rows.select("uid", "fp", "keys", "sketch"), "uid", members(texts, "uid"))
+        roots = components(near_links(distinct))
+        groups = texts.select("uid", "least").join(roots, texts["uid"] == roots["node"], "left").groupBy(F.coalesce("root", "uid").alias("root"))
+        kept = members(groups.agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid")), "uid")
+        own.remove(kept.staged_path)
+    return kept
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: that of its smallest doc_id (null last), one of equal ids.
 
@@ -447,17 +509,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     min-hash shards: two such texts share one of the KEYS min-hashes in 99.2 of 100 cases or more. Each shard is a BK-tree of op9's fingerprints searched within
     NEAR_BITS (every pair of a large shard too, see near_links), and what it finds is verified by shingles: all of them below SKETCH, the SKETCH smallest hashes (a standard error of 0.0125) beyond.
     Null and empty texts are copies of each other, so one of them stays; of repeated rows one stays. A very long text is one sketch of at most SKETCH
-    hashes. An empty table gives an empty result. Columns may have any names but ``__near_uid``.
+    hashes. An empty table gives an empty result. Columns may have any names but those that begin with ``__near_`` or ``__member_``.
+
+    Texts aren't shuffled, nor sketches but those of candidates (a table beyond members.MOST_WORDS is, by key); of what is staged only the numbered rows and the kept ones' numbers stay.
     """
     numbered = stage(docs.withColumn("__near_uid", F.monotonically_increasing_id()), "numbered")
-    rows = stage(_sketched(numbered.select(F.col("__near_uid").alias("uid"), "doc_id", "text")), "sketches")
-    named = rows.select("uid", "doc_id", F.xxhash64("sketch").alias("h1"), F.xxhash64(F.lit(1), "sketch").alias("h2"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("least")
-    texts = stage(named.groupBy("h1", "h2").agg(F.min("uid").alias("uid"), least), "texts")
-    distinct = stage(rows.select("uid", "fp", "keys", "sketch").join(texts.select("uid"), "uid", "left_semi"), "distinct")
-    drop(rows)
+    kept = _kept(numbered)
     settle(docs.sparkSession)
-    roots = components(near_links(distinct))
-    groups = texts.join(roots, texts["uid"] == roots["node"], "left").groupBy(F.coalesce("root", "uid").alias("root"))
-    kept = stage(groups.agg(F.min("least").alias("least")).select(F.col("least.uid").alias("__near_uid")), "kept")
-    return numbered.join(kept, "__near_uid", "left_semi").select(docs.columns)
+    return among(numbered, "__near_uid", kept).select(docs.columns)

@@ -10,11 +10,14 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 _fallback: str | None = None
 _written: list[tuple[SparkSession, str]] = []
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; removed by release() or at exit."""
     path = f"{shared_dir(spark)}/rostra/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    if (own := _scratch.get()) is not None:
+        own.append(path)
     return path
 
 
@@ -43,6 +48,20 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete on leaving what this thread has written within; a path taken from the list stays."""
+    own: list[str] = []
+    token = _scratch.set(own)
+    try:
+        yield own
+    finally:
+        _scratch.reset(token)
+        for path in own:
+            with contextlib.suppress(Exception):
+                remove(spark, path)
+
+
 def mark() -> int:
     """A point in the list of written paths, for release()."""
     return len(_written)
